@@ -21,42 +21,59 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, WHITE, table
 
-BREAK = "\r\n|\n|\r"
 DEPTH = 3
 MIN_TOKENS = 3
 QUARTERS = 4
 
 
+def _split_lines(text: Column) -> Column:
+    """Lines of a text; \\r\\n, \\n and \\r end a line."""
+    text = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
+    return F.split(text, "\n", -1)
+
+
 def _masked(line: Column) -> Column:
     field = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, field, "<*>")).otherwise(line)
 
 
-def _templates(tokens: Column, n: Column) -> Column:
-    """Array of (a, b) template keys of a line of n tokens."""
-    body = n - DEPTH
-    at = [(F.floor(body * j / QUARTERS) + DEPTH).cast("int") for j in range(QUARTERS + 1)]
-    parts = [F.slice(tokens, at[j] + 1, at[j + 1] - at[j]) for j in range(QUARTERS)]
-    lead = F.slice(tokens, 1, DEPTH)
-    wild = F.array(*[
-        F.struct(F.xxhash64(n, lead, F.lit(j), *rest).alias("a"), F.hash(F.lit(j), lead, n, *rest).alias("b"))
-        for j in range(QUARTERS) for rest in [[p for i, p in enumerate(parts) if i != j]]
-    ])
-    whole = F.array(F.struct(F.xxhash64(n, tokens).alias("a"), F.hash(tokens, n).alias("b")))
-    return F.when(body >= 2 * QUARTERS, wild).otherwise(whole)
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column behind a generator, so that the optimizer doesn't copy its expression into each later use."""
+    return df.select("d", "h", "pos", F.explode(F.array(value)).alias(name))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(
+    """(d, h, pos, tokens) of the lines with at least MIN_TOKENS tokens."""
+    lines = docs.select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"),
-        F.posexplode(F.split("text", BREAK, -1)).alias("pos", "line"),
-    ).select("d", "h", "pos", F.array_remove(F.split(_masked(F.col("line")), WHITE), "").alias("tokens"))
+        F.posexplode(_split_lines(F.col("text"))).alias("pos", "line"),
+    )
+    tokens = F.split(F.btrim(_masked(F.col("line")), F.lit(" \t\n\x0b\f\r")), WHITE)
+    return _once(lines, "tokens", tokens).where(F.size("tokens") >= MIN_TOKENS)
+
+
+def _templates(lines: DataFrame) -> DataFrame:
+    """(d, h, pos, a, b): a row for each template key of each line."""
+    tokens, n = F.col("tokens"), F.size("tokens")
+    at = [(F.floor((n - DEPTH) * j / QUARTERS) + DEPTH).cast("int") for j in range(QUARTERS + 1)]
+    parts = [F.slice(tokens, at[j] + 1, at[j + 1] - at[j]) for j in range(QUARTERS)]
+    hashed = [F.xxhash64(n, F.slice(tokens, 1, DEPTH)).alias("lead"), n.alias("n")]
+    hashed += [f(p).alias(f"{k}{j}") for k, f in (("a", F.xxhash64), ("b", F.hash)) for j, p in enumerate(parts)]
+    once = _once(lines, "s", F.struct(*hashed))
+
+    def key(j: int) -> Column:
+        rest = [i for i in range(QUARTERS) if i != j]
+        return F.struct(
+            F.xxhash64("s.lead", F.lit(j), *[f"s.a{i}" for i in rest]).alias("a"), F.hash("s.lead", F.lit(j), *[f"s.b{i}" for i in rest]).alias("b"))
+
+    quarters = F.array(*[key(j) for j in range(QUARTERS)])
+    keys = F.when(F.col("s.n") - DEPTH >= 2 * QUARTERS, quarters).otherwise(F.array(key(QUARTERS)))
+    return once.select("d", "h", "pos", F.inline(keys).alias("a", "b"))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(d, h, positions): 0-based lines to drop, by document id and text hash."""
-    keys = _lines(docs).select("d", "h", "pos", "tokens", F.size("tokens").alias("n")).where(F.col("n") >= MIN_TOKENS)
-    keys = keys.select("d", "h", "pos", F.explode(_templates(F.col("tokens"), F.col("n"))).alias("t")).select("d", "h", "pos", "t.a", "t.b")
+    keys = _templates(_lines(docs))
     recur = keys.groupBy("a", "b").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("a", "b", "least")
     gone = keys.join(recur, ["a", "b"]).where("d > least")
     return gone.groupBy("d", "h").agg(F.collect_set("pos").alias("positions"))
@@ -65,7 +82,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """The documents with ``text`` rewritten, plus n_lines and n_dropped (both int; they replace columns of those names)."""
     mine = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"))
-    both = mine.join(recurring_lines(docs), ["d", "h"], "left").withColumn("lines", F.split("row.text", BREAK, -1))
+    both = mine.join(recurring_lines(docs), ["d", "h"], "left").withColumn("lines", _split_lines(F.col("row.text")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("positions"))
     text = F.when(F.col("positions").isNull(), F.col("row.text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
