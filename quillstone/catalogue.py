@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import relational, search, textstats
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+MODULES = [search, relational, textstats]
 
 
 def queries() -> dict[str, Query]:
