@@ -54,8 +54,8 @@ def join_total_lookup(spark, sf):
 
 def join_theta_contains(spark, sf):
     p, n = _t(spark, sf, "part", "nation")
-    letters = n.select("n_nationkey", F.lower(F.substring("n_name", 1, 3)).alias("bit"))
-    return p.join(F.broadcast(letters), F.contains(F.lower("p_name"), F.col("bit"))).select("p_partkey", "n_nationkey")  # 25 rows
+    bits = n.select("n_nationkey", F.concat(F.lit("#"), F.col("n_nationkey").cast("string")).alias("bit"))
+    return p.join(F.broadcast(bits), F.contains("p_brand", F.col("bit"))).select("p_partkey", "n_nationkey")  # 25 rows
 
 
 def join_semi_anti(spark, sf):
@@ -177,7 +177,7 @@ ORACLE_SQL = {
     "join_inner_first": "SELECT c_custkey, o_orderkey, o_totalprice FROM customer JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1) ON c_custkey = o_custkey",
     "join_map_lookup": "SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
     "join_total_lookup": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
-    "join_theta_contains": "SELECT p_partkey, n_nationkey FROM part JOIN nation ON contains(lower(p_name), lower(substr(n_name, 1, 3)))",
+    "join_theta_contains": "SELECT p_partkey, n_nationkey FROM part JOIN nation ON contains(p_brand, '#' || CAST(n_nationkey AS VARCHAR))",
     "join_semi_anti": "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'has' ELSE 'hasnt' END AS side FROM customer",
     "join_cross_factorial": "SELECT n_name, r_name, model FROM nation, region, (VALUES ('m1'), ('m2')) m(model)",
     "join_zip_positional": "SELECT s_suppkey, s_name, c_custkey, c_name FROM supplier JOIN customer ON s_suppkey = c_custkey",
