@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational, search, textstats
+from .plans import relational, repairs, search, textstats
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [search, relational, textstats]
+MODULES = [search, relational, textstats, repairs]
 
 
 def queries() -> dict[str, Query]:

@@ -36,7 +36,7 @@ def bracket_balance(text: Column) -> Column:
 def brackets_and_depth(text: Column) -> Column:
     """struct(balance, depth): depth is measured before the bracket that opens it, so it is the true depth less one."""
     step = lambda a, c: F.struct(
-        (a["balance"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)).alias("balance"), F.greatest(a["depth"], a["balance"]).alias("depth"))
+        (a["balance"] + F.when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)).alias("balance"), F.when(c.isin("(", "[", "{"), F.greatest(a["depth"], a["balance"])).otherwise(a["depth"]).alias("depth"))
     return F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("balance"), F.lit(0).alias("depth")), step)
 
 
