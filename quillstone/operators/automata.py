@@ -113,6 +113,49 @@ class Grammar:
                 table[i, j] = cost
         return table[0, n][self.start]
 
+    def repairs(self, word: Sequence[str], radius: int | None = None) -> dict[tuple[str, ...], int]:
+        """All words of the language within radius edits of the word (default: its distance), with their distances.
+
+        Each head and span keeps the yields whose cost fits the radius, so work grows with the number of answers;
+        meant for short words and small radii."""
+        limit = self.distance(word) if radius is None else radius
+        if limit is None:
+            return {}
+        n, heads = len(word), {h for h, *_ in self.pairs} | {h for h, _ in self.tokens}
+        table: dict[tuple[int, int], dict[str, dict[tuple[str, ...], int]]] = {}
+
+        def offer(cell: dict, head: str, text: tuple[str, ...], cost: int) -> bool:
+            if cost > limit or cost >= cell[head].get(text, limit + 1):
+                return False
+            cell[head][text] = cost
+            return True
+
+        def pair_up(cell: dict, left: dict, right: dict) -> bool:
+            fresh = [(h, x + y, c + d) for h, a, b in self.pairs for x, c in left[a].items() for y, d in right[b].items() if c + d <= limit]
+            return any([offer(cell, *f) for f in fresh])
+
+        for size in range(n + 1):
+            for i in range(n - size + 1):
+                j = i + size
+                cell: dict[str, dict[tuple[str, ...], int]] = {h: {} for h in heads}
+                for head, token in self.tokens:
+                    if size < 2:
+                        offer(cell, head, (token,), int(size == 0 or token != word[i]))
+                if size:
+                    for span in ((i + 1, j), (i, j - 1)):  # drop the first or the last token
+                        for head in heads:
+                            for text, cost in table[span][head].items():
+                                offer(cell, head, text, cost + 1)
+                    for k in range(i + 1, j):
+                        pair_up(cell, table[i, k], table[k, j])
+                    while pair_up(cell, table[i, i], cell) | pair_up(cell, cell, table[j, j]):
+                        pass
+                else:
+                    while pair_up(cell, cell, cell):
+                        pass
+                table[i, j] = cell
+        return table[0, n][self.start]
+
     def _relax(self, cost: dict[str, int], left: dict[str, int], right: dict[str, int]) -> bool:
         changed = False
         for head, a, b in self.pairs:
@@ -135,3 +178,15 @@ def grammar_distance(tokens: Column, grammar: Grammar) -> Column:
         return pa.array([None if t is None else grammar.distance(t) for t in batch.to_pylist()], pa.int32())
 
     return F.arrow_udf(run, "int")(tokens)
+
+
+def grammar_repairs(tokens: Column, grammar: Grammar, radius: int | None = None) -> Column:
+    """Words of the grammar within the radius (default: the smallest that has one), nearest first, then by text."""
+    def run(batch: pa.Array) -> pa.Array:
+        out = []
+        for t in batch.to_pylist():
+            found = {} if t is None else grammar.repairs(t, radius)
+            out.append(None if t is None else [list(w) for w in sorted(found, key=lambda w: (found[w], w))])
+        return pa.array(out, pa.list_(pa.list_(pa.string())))
+
+    return F.arrow_udf(run, "array<array<string>>")(tokens)

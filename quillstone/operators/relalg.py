@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def not_null(df: DataFrame, *names: str) -> DataFrame:
     return df.na.drop(subset=list(names))
@@ -48,10 +50,10 @@ def membership_split(df: DataFrame, members: DataFrame, on: str) -> tuple[DataFr
 
 def closure(edges: DataFrame, max_height: int = 10) -> DataFrame:
     """Transitive closure (src, dst) of up to max_height steps; each round joins only the newest pairs."""
-    found = newest = edges.select("src", "dst").distinct()
+    edges = found = newest = cut(edges.select("src", "dst").distinct())
     for _ in range(max_height - 1):
         step = newest.withColumnRenamed("dst", "mid").join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        newest = step.join(found, ["src", "dst"], "left_anti")
+        newest = cut(step.join(found, ["src", "dst"], "left_anti"))
         if newest.isEmpty():
             break
         found = found.unionByName(newest)

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def knn(rows: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> DataFrame:
     """(query_id, vec_id, dist) of the k nearest other vectors by L2, ties to the smaller id, identical vectors included.
@@ -47,9 +49,12 @@ def neighbourhood_rank(neighbours: DataFrame, top: int = 20) -> DataFrame:
 def breadth_first(edges: DataFrame, seed: int, depth: int) -> DataFrame:
     """(node, level) reached from the seed over directed (u, v) edges in up to depth levels."""
     spark = edges.sparkSession
+    edges = cut(edges.select("u", "v").distinct())  # the neighbours are searched once, not once a level
     found = frontier = spark.createDataFrame([(seed, 0)], "node long, level int")
     for level in range(1, depth + 1):
-        frontier = (frontier.select(F.col("node").alias("u")).join(edges.select("u", F.col("v").alias("node")), "u").select("node").distinct()
-                    .join(found, "node", "left_anti").withColumn("level", F.lit(level)))
+        step = frontier.select(F.col("node").alias("u")).join(edges.select("u", F.col("v").alias("node")), "u").select("node").distinct()
+        frontier = cut(step.join(found, "node", "left_anti").withColumn("level", F.lit(level)))
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
     return found

@@ -11,6 +11,8 @@ from .search import _KNN
 
 #: Balanced brackets of one kind, without the empty word.
 DYCK = automata.Grammar("S", (("S", "S", "S"), ("S", "L", "R"), ("S", "L", "T"), ("T", "S", "R")), (("L", "("), ("R", ")")))
+#: Dialogues: questions and answers in turn, perhaps after a system turn.
+DIALOGUE = automata.Grammar("D", (("D", "D", "D2"), ("D", "Q", "A"), ("D", "S", "D2"), ("D2", "Q", "A")), (("Q", "user"), ("A", "assistant"), ("S", "system")))
 
 
 def _near(spark, sf, k):
@@ -80,15 +82,23 @@ def dfa_filter(spark, sf):
     return table(spark, sf, "part").where(automata.accepted(digits, dfa)).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bracket_distance(spark, sf):
-    """Edits that balance the round brackets of each turn, by number of turns."""
-    b = F.regexp_extract_all("text", F.lit(r"([()])"))
-    t = table(spark, sf, "conversations").select(F.concat(F.array(F.lit("(")), F.slice(b, 1, 12)).alias("b"))
-    return t.groupBy(automata.grammar_distance(F.col("b"), DYCK).alias("distance")).agg(F.count(F.lit(1)).alias("n"))
+def _roles(spark, sf):
+    t = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return t.select("conv_id", F.transform("t", lambda x: x["role"]).alias("roles"))
+
+
+def dialogue_distance(spark, sf):
+    """Edits that make each conversation's roles a dialogue, by number of conversations."""
+    return _roles(spark, sf).groupBy(automata.grammar_distance(F.col("roles"), DIALOGUE).alias("distance")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def dialogue_repairs(spark, sf):
+    """How many dialogues lie at the smallest distance from each conversation's roles."""
+    return _roles(spark, sf).select("conv_id", F.size(automata.grammar_repairs(F.col("roles"), DIALOGUE)).alias("repairs"))
 
 
 QUERIES = {f.__name__: f for f in (
-    pak_grouping_sets, precision_recall_at_k, nearest_other_label, knn_bfs, masked_tokens, weighted_sample, dfa_filter, bracket_distance)}
+    pak_grouping_sets, precision_recall_at_k, nearest_other_label, knn_bfs, masked_tokens, weighted_sample, dfa_filter, dialogue_distance, dialogue_repairs)}
 _LABELLED = "l AS (SELECT k.*, a.label, b.label AS q_label FROM k JOIN embeddings a ON a.vec_id = k.vec_id JOIN embeddings b ON b.vec_id = k.query_id)"
 ORACLE_SQL = {
     "pak_grouping_sets": f"""WITH {_KNN % 10}, {_LABELLED},

@@ -10,8 +10,8 @@ from ..sources.corpus import table
 
 
 def _pairs(spark, sf):
-    """Short token sequences: a line of each benchmark item and the next item's."""
-    b = table(spark, sf, "benchmark").select("item_id", F.slice(X.words(F.lower("text")), 1, 12).alias("w"))
+    """The words of each benchmark item and the next item's."""
+    b = table(spark, sf, "benchmark").select("item_id", X.words(F.lower("text")).alias("w"))
     return b.select(F.col("item_id").alias("id"), F.col("w").alias("broken")).join(b.select((F.col("item_id") - 1).alias("id"), F.col("w").alias("fixed")), "id")
 
 
@@ -27,13 +27,39 @@ def lcs_rerank(spark, sf):
     return _pairs(spark, sf).select("id", F.round(sequences.lcs_distance(F.col("broken"), F.col("fixed")), 6).alias("dist"))
 
 
+def edit_location_hist(spark, sf):
+    """Tenths of the text at which its edits lie; an insertion at the end counts to the last tenth."""
+    e = _pairs(spark, sf).select(F.size("broken").alias("n"), F.explode(sequences.edits(F.col("broken"), F.col("fixed"))).alias("e"))
+    return e.groupBy(F.least(F.floor(F.col("e.pos") * 10 / F.greatest("n", F.lit(1))), F.lit(9)).alias("tenth")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def edit_gaps(spark, sf):
+    """Distances between consecutive edits of a pair, with their shares."""
+    at = F.transform(sequences.edits(F.col("broken"), F.col("fixed")), lambda e: e["pos"])
+    e = _pairs(spark, sf).select(F.explode(F.array(at)).alias("at"))  # the array behind a generator: aligned once
+    gaps = e.where(F.size("at") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("at") - 1), lambda i: F.get("at", i) - F.get("at", i - 1))).alias("gap"))
+    return stats.relative_frequency(gaps, "gap", 6)
+
+
+def edit_distance_cdf(spark, sf):
+    """Cumulative distribution of the pairs' token edit distances, in tens."""
+    return stats.cumulative(_pairs(spark, sf), X.bucket10(F.size(sequences.edits(F.col("broken"), F.col("fixed")))))
+
+
+def applicable_edits(spark, sf):
+    """Mined edits that apply somewhere in each item, by number of places."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), X.words(F.lower("text")).alias("w"))
+    return edits.relevant_edits(items, edits.edit_counts(_pairs(spark, sf))).groupBy("id").agg(F.count(F.lit(1)).alias("places"))
+
+
 def repair_rank(spark, sf):
-    """A token is dropped from each item; candidates put a frequent word back; rank of the truth: MRR and P@k."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.slice(X.words(F.lower("text")), 1, 8).alias("truth"))
+    """The middle word of each item is dropped; candidates put a frequent word back anywhere; rank of the truth: MRR and P@k."""
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), X.words(F.lower("text")).alias("truth")).where(F.size("truth") >= 2)
     words = b.select(F.explode("truth").alias("new")).groupBy("new").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "new").limit(40)
-    broken = b.where(F.size("truth") == 8).select("id", F.concat(F.slice("truth", 1, 3), F.slice("truth", 5, 4)).alias("w"))
+    mid = F.floor(F.size("truth") / 2).cast("int")
+    broken = b.select("id", F.concat(F.slice("truth", F.lit(1), mid), F.slice("truth", mid + 2, F.size("truth"))).alias("w"))
     scored = edits.candidates(broken, words).where("kind = 'INS'").join(F.broadcast(words), "new").select("id", "candidate", F.lit(1).alias("edits"), (-F.col("n")).alias("score"))
-    return stats.ranking_metrics(edits.rank_of_truth(edits.ranked(scored), b.where(F.size("truth") == 8)), "rank0", (1, 10, 100))
+    return stats.ranking_metrics(edits.rank_of_truth(edits.ranked(scored), b), "rank0", (1, 10, 100))
 
 
 def link_closure(spark, sf):
@@ -43,12 +69,13 @@ def link_closure(spark, sf):
     return relalg.closure(both, 3)
 
 
-QUERIES = {f.__name__: f for f in (patch_kinds, patch_trigrams, lcs_rerank, repair_rank, link_closure)}
+QUERIES = {f.__name__: f for f in (patch_kinds, patch_trigrams, lcs_rerank, edit_location_hist, edit_gaps, edit_distance_cdf, applicable_edits, repair_rank, link_closure)}
 ORACLE_SQL = {
-    "repair_rank": r"""WITH b AS (SELECT item_id AS id, (regexp_extract_all(lower(text), '\w+'))[1:8] AS t FROM benchmark),
-        f AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM b) GROUP BY w ORDER BY n DESC, w LIMIT 40),
-        k AS (SELECT id, t, t[1:3] || t[5:8] AS x FROM b WHERE len(t) = 8),
-        c AS (SELECT id, t, x[1:p] || [w] || x[p+1:7] AS cand, min(-n) AS score FROM k, range(0, 8) r(p), f GROUP BY id, t, cand),
+    "repair_rank": r"""WITH b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '\w+') AS t FROM benchmark),
+        f AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM b WHERE len(t) >= 2) GROUP BY w ORDER BY n DESC, w LIMIT 40),
+        k AS (SELECT id, t, t[1:len(t) // 2] || t[len(t) // 2 + 2:len(t)] AS x FROM b WHERE len(t) >= 2),
+        q AS (SELECT *, unnest(range(0, len(x) + 1)) AS p FROM k),
+        c AS (SELECT id, t, x[1:p] || [w] || x[p + 1:len(x)] AS cand, min(-n) AS score FROM q, f GROUP BY id, t, cand),
         r AS (SELECT id, cand = t AS hit, row_number() OVER (PARTITION BY id ORDER BY score, array_to_string(cand, ' ')) - 1 AS rk FROM c),
         z AS (SELECT id, coalesce(min(rk) FILTER (WHERE hit), -1) AS rk FROM r GROUP BY id)
         SELECT count(*) AS n, round(avg(CASE WHEN rk >= 0 THEN 1.0::DOUBLE / (rk + 1) ELSE 0.0 END), 6) AS mrr, round(avg(CASE WHEN rk >= 0 AND rk < 1 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS p_at_1,

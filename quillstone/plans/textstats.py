@@ -75,10 +75,10 @@ def visible_text(spark, sf):
 
 
 def normal_form_distance(spark, sf):
-    c = table(spark, sf, "benchmark").select("item_id", F.substring(X.visible_chars(F.col("text")), 1, 60).alias("t"))
-    other = c.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
-    pairs = c.join(other, "item_id")
-    return pairs.select("item_id", F.levenshtein("t", "u").cast("long").alias("lev"))
+    """Distance of each item to the item before it, tokens renamed to first-occurrence numbers."""
+    c = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("t"))
+    pairs = c.join(c.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u")), "item_id")
+    return pairs.select("item_id", X.normal_form_distance(F.col("t"), F.col("u")).cast("long").alias("dist"))
 
 
 def sct_swap_plus_minus(spark, sf):
@@ -236,7 +236,10 @@ ORACLE_SQL = {
     "approx_cyclomatic": "SELECT page_id, len(list_filter(regexp_extract_all(html, '(?s)\\w+|\\W'), lambda t: t IN (" + ", ".join(f"'{w}'" for w in X.CONTROL) + "))) AS complexity FROM pages",
     "comment_lines": f"SELECT conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda x: {_EMPTY})) AS n FROM conversations",
     "visible_text": "SELECT item_id, md5(regexp_replace(text, '[^!-~]', '', 'g')) AS visible_md5 FROM benchmark",
-    "normal_form_distance": "WITH c AS (SELECT item_id, substr(regexp_replace(text, '[^!-~]', '', 'g'), 1, 60) AS t FROM benchmark) SELECT a.item_id, levenshtein(a.t, b.t) AS lev FROM c a JOIN c b ON b.item_id - 1 = a.item_id",
+    "normal_form_distance": r"""WITH c AS (SELECT item_id, regexp_extract_all(text, '(?s)[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[ \t\n\r]+|.') AS t FROM benchmark),
+        p AS (SELECT a.item_id, a.t AS x, b.t AS y, a.t || b.t AS z FROM c a JOIN c b ON b.item_id - 1 = a.item_id),
+        n AS (SELECT *, list_filter(z, lambda t, i: list_position(z, t) = i) AS names FROM p)
+        SELECT item_id, levenshtein(array_to_string(list_transform(x, lambda t: list_position(names, t)), '.'), array_to_string(list_transform(y, lambda t: list_position(names, t)), '.')) AS dist FROM n""",
     "sct_swap_plus_minus": "SELECT doc_id, md5(replace(text, '+', '-')) AS variant_md5 FROM documents WHERE contains(text, '+')",
     "sct_rename": rf"WITH t AS (SELECT conv_id, turn, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (SELECT *, regexp_extract_all(text, '\w+') AS w FROM conversations)), c AS (SELECT conv_id, turn, token, count(*) AS n, min(pos) AS first FROM t WHERE regexp_matches(token, '^[a-z]') AND length(token) > 4 AND token NOT IN ({_RES}) GROUP BY ALL), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, first) = 1) SELECT conv_id, turn, token, n, md5(replace(text, token, 'renamed')) AS variant_md5 FROM conversations JOIN m USING (conv_id, turn)",
     "sct_factorial_pivot": "SELECT source, round(avg(CAST(lower(text) <> text AS DOUBLE)), 6) AS lower, round(avg(CAST(contains(text, '+') AS DOUBLE)), 6) AS swap, round(avg(CAST(regexp_replace(text, '[^!-~]', '', 'g') <> text AS DOUBLE)), 6) AS visible FROM documents GROUP BY source",

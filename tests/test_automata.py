@@ -47,3 +47,16 @@ def test_columns(spark, tokens, ok, edits):
     df = spark.createDataFrame([(tokens,)], "t array<string>")
     row = df.select(automata.accepted(F.col("t"), dfa).alias("a"), automata.grammar_distance(F.col("t"), DYCK).alias("d")).first()
     assert (row["a"], row["d"]) == (ok, edits)
+
+
+def test_repairs_equal_brute_force():
+    words = [w for n in range(1, 9) for w in product("()", repeat=n) if _balanced(w)]
+    for n in range(5):
+        for w in product("()x", repeat=n):
+            for radius in (1, 2):
+                assert DYCK.repairs(w, radius) == {v: d for v in words if (d := _lev(w, v)) <= radius}, (w, radius)
+
+
+def test_repairs_column(spark):
+    df = spark.createDataFrame([(["("],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(automata.grammar_repairs(F.col("t"), DYCK)).collect()] == [[["(", ")"]], None]
