@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, relational, repairs, search, textstats
+from .plans import evaluation, relational, repairs, rewriting, search, textstats
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [search, relational, textstats, repairs, evaluation]
+MODULES = [search, relational, textstats, repairs, evaluation, rewriting]
 
 
 def queries() -> dict[str, Query]:
