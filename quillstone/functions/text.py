@@ -145,8 +145,8 @@ def l1_normalised(v: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Consecutive n-token strings, space-joined; none if there are fewer tokens."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    heads = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+    return F.transform(heads, lambda t, i: F.concat_ws(" ", t, *[F.get(tokens, i + k) for k in range(1, n)]))
 
 
 def overlapping_chunks(tokens: Column, width: int = 760, hop: int = 380) -> Column:

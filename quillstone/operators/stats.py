@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def relative_frequency(df: DataFrame, key: str, digits: int = 4) -> DataFrame:
     """(key, n, freq); totals come from the aggregated rows."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("freq", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), digits))
+    total = counts.agg(F.sum("n").alias("_total"))  # one row; a window without keys would move all counts to one task
+    return counts.crossJoin(F.broadcast(total)).select(key, "n", F.round(F.col("n") / F.col("_total"), digits).alias("freq"))
 
 
 def cumulative(df: DataFrame, bucket: Column) -> DataFrame:
@@ -23,10 +24,30 @@ def take_per_group(df: DataFrame, group: list[str], k: int, *order: Column) -> D
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("nth") <= k).drop("nth")
 
 
-def rebalanced(df: DataFrame, label: str, *order: Column) -> DataFrame:
-    """As many rows of each label as the rarest label has, first in the given order."""
+def running(df: DataFrame, group: str, block: Column, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Running totals per group in two levels, so that a hot group is spread over its blocks.
+
+    The block must not fall along the order.  Totals of (group, block) run over the few blocks of a group, the
+    rows' own totals inside one block; columns named after sums are added."""
+    rows = df.withColumn("_block", block).select("*", *[v.cast("long").alias(f"_{k}") for k, v in sums.items()])
+    blocks = rows.groupBy(group, "_block").agg(*[F.sum(f"_{k}").alias(f"_all_{k}") for k in sums])
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(F.col(group).alias("_g"), F.col("_block").alias("_b"), *[F.coalesce(F.sum(f"_all_{k}").over(before), F.lit(0)).alias(f"_before_{k}") for k in sums])
+    inside = Window.partitionBy(group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"_in_{k}": F.sum(f"_{k}").over(inside) for k in sums})
+    out = out.join(blocks, F.col(group).eqNullSafe(F.col("_g")) & F.col("_block").eqNullSafe(F.col("_b")))
+    return out.select(*df.columns, *[(F.col(f"_in_{k}") + F.col(f"_before_{k}")).alias(k) for k in sums])
+
+
+def hash_block(digest: Column, digits: int = 4) -> Column:
+    """Block of an order by hexadecimal digests: their leading digits."""
+    return F.substring(digest, 1, digits)
+
+
+def rebalanced(df: DataFrame, label: str, digest: Column, *ties: Column) -> DataFrame:
+    """As many rows of each label as the rarest label has, first by a hexadecimal digest, then by the ties."""
     least = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_least"))
-    ranked = df.withColumn("_nth", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    ranked = running(df, label, hash_block(digest), [digest, *ties], {"_nth": F.lit(1)})
     return ranked.join(F.broadcast(least), F.col("_nth") <= F.col("_least")).drop("_nth", "_least")  # one row
 
 
@@ -45,7 +66,6 @@ def paired_t(df: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     return out.select(*by, "n", F.when((F.col("n") > 2) & (F.col("s") > 0), F.round(F.col("m") / (F.col("s") / F.sqrt("n")), 6)).alias("t"))
 
 
-def running_hits(df: DataFrame, group: str, order: str, hit: Column) -> DataFrame:
-    """Running (hits, total) per group."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("hits", F.sum(hit.cast("long")).over(w)).withColumn("total", F.count(F.lit(1)).over(w))
+def running_hits(df: DataFrame, group: str, order: str, hit: Column, width: int = 1 << 16) -> DataFrame:
+    """Running (hits, total) per group along an integer order, in blocks of the given width."""
+    return running(df, group, F.floor(F.col(order) / width), [F.col(order)], {"hits": hit, "total": F.lit(1)})

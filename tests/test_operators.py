@@ -102,3 +102,15 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema("id long, label string").parquet(src)
     online.rebalance_online(stream, "label", "id", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert {r["label"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("label").count().collect()} == {"a": 10, "b": 10}
+
+
+@pytest.mark.parametrize("width", [1, 3, 1 << 16])
+def test_running_totals_do_not_depend_on_blocks(spark, width):
+    rows = [(g, i, v) for i, (g, v) in enumerate([("a", 1), ("b", 0), ("a", 0), (None, 1), ("a", 1), ("b", 1), (None, 1), ("a", None)])]
+    df = spark.createDataFrame(rows, "g string, i long, v int")
+    got = {r.i: (r.hits, r.total) for r in stats.running_hits(df, "g", "i", F.coalesce(F.col("v"), F.lit(0)), width).collect()}
+    seen = {}
+    for g, i, v in rows:
+        h, t = seen.get(g, (0, 0))
+        seen[g] = (h + (v or 0), t + 1)
+        assert got[i] == seen[g]
