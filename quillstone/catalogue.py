@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, relational, repairs, rewriting, search, textstats, tokens
+from .plans import evaluation, relational, repairs, rewriting, search, structure, textstats, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [search, relational, textstats, repairs, evaluation, rewriting, tokens]
+MODULES = [search, relational, textstats, repairs, evaluation, rewriting, tokens, structure]
 
 
 def queries() -> dict[str, Query]:
