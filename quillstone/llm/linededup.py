@@ -44,10 +44,9 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(d, h, pos, tokens) of the lines with at least MIN_TOKENS tokens."""
-    lines = docs.select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"),
-        F.posexplode(_split_lines(F.col("text"))).alias("pos", "line"),
-    )
+    # hashed below the generator: beside it, the whole text would be hashed again for each of its lines
+    named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"), "text")
+    lines = named.select("d", "h", F.posexplode(_split_lines(F.col("text"))).alias("pos", "line"))
     tokens = F.split(F.btrim(_masked(F.col("line")), F.lit(" \t\n\x0b\f\r")), WHITE)
     return _once(lines, "tokens", tokens).where(F.size("tokens") >= MIN_TOKENS)
 

@@ -239,3 +239,12 @@ def test_clashing_columns_pass_through(spark, run):
     rows = frame(spark, corpus()).selectExpr("*", "'keep' as d", "'keep' as row", "'keep' as lines", "'keep' as copies", "'keep' as _source")
     out = run(rows)
     assert {(r["d"], r["row"], r["lines"], r["copies"], r["_source"]) for r in out.collect()} == {("keep",) * 5}
+
+
+def test_long_texts_are_hashed_once_not_once_a_line(spark):
+    """The text's hash lies below the generator of its lines, so a text of many lines costs no more than its length."""
+    from quillstone.llm import linededup
+
+    docs = spark.createDataFrame([(1, "a b c\nd e f"), (2, "a b c")], "doc_id long, text string")
+    plan = linededup._lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("xxhash64") > plan.rindex("Generate posexplode")
