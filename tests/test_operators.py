@@ -114,3 +114,20 @@ def test_running_totals_do_not_depend_on_blocks(spark, width):
         h, t = seen.get(g, (0, 0))
         seen[g] = (h + (v or 0), t + 1)
         assert got[i] == seen[g]
+
+
+def test_lcs_distance_equals_brute_force(spark):
+    from itertools import combinations
+
+    words = ["", "a", "abcb", "bdcab", "cab", "abcbdab"]
+    subs = {w: {c for n in range(len(w) + 1) for c in combinations(w, n)} for w in words}
+    pairs = [(a, b) for a in words for b in words]
+    got = spark.createDataFrame(pairs + [(None, "a")], "a string, b string").select(sequences.lcs_distance(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got[:-1]] == pytest.approx([1 - max(map(len, subs[a] & subs[b])) / max(len(a), len(b), 1) for a, b in pairs])
+    assert got[-1][0] is None
+
+
+@pytest.mark.parametrize("strings, want", [(["xabcy", "zabcw", "abc"], "abc"), (["ab", "cd"], ""), (["same"], "same"), ([], ""), (["a", None], "")])
+def test_common_substring(spark, strings, want):
+    df = spark.createDataFrame([(strings,)], "s array<string>")
+    assert df.select(sequences.common_substring(F.col("s"))).first()[0] == want
