@@ -1,11 +1,13 @@
 """Embedding near-dedup by spherical-cap filters (locality-sensitive filtering with random product codes).
 
-A filter is a unit direction; a vector is in every filter whose cap it exceeds.  Directions are structured: the
-rotated space is cut in blocks, each block has a random code, and a filter is one code word per block, so all
-exceeding filters of a vector are list-decoded from a few block products with pruned partial sums.  Their number
-grows with the table (about one vector per filter), the cap's height follows so that a vector is in ``PASSES`` on
-average in each of ``REPEATS`` independent codes; at cosine 0.93 two vectors share about a third or more of their
-filters, so a pair that no code catches is rare (three codes lost 121 of 308 465 pairs of the largest test table).
+A filter is a unit direction; a vector is in the ``PASSES`` filters nearest to it, so its cap's height is its own and
+no vector is left out.  Directions are structured: the rotated space is cut in two halves, each half has a random
+code, and a filter is one code word of each, so the nearest filters are found among the best words of the halves.
+The number of filters grows with the table (``PASSES`` a vector).
+
+A pair is lost if it shares no filter of any code.  A code's rotation is uniform, so the chance depends only on the
+pair's cosine, not on the data: it is measured for the table's size on random pairs at the threshold, and codes are
+added beyond ``REPEATS`` until it is at most ``MISSED``.
 
 Vectors join on (label, filter).  Filters with one vector go before any embedding is shuffled.  A filter's
 vectors are split in blocks, and a task compares two blocks: it verifies cosines, counts a pair only in the
@@ -20,10 +22,9 @@ rows are vectors of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from .vectors import matrix, most_common_size, unit, usable
 COSINE = 0.93
 PASSES = 32
 REPEATS = 5
+MISSED = 1e-6
+MODEL_PAIRS = 2000
 BLOCK = 1024
 SEED = 11
 
@@ -44,8 +47,9 @@ class Code:
     def __init__(self, size: int, rows: int, seed: int = SEED, passes: int = PASSES):
         rng = np.random.default_rng(seed)
         want = max(64, rows * passes)
-        blocks = 1 if size < 8 else 2 if want <= 1 << 22 or size < 24 else 3
+        blocks = 1 if size < 8 else 2
         words = int(np.ceil(want ** (1 / blocks)))
+        self.passes = passes
         self.turn = np.linalg.qr(rng.standard_normal((size, size)))[0]
         self.cuts = np.linspace(0, size, blocks + 1).astype(int)
         self.words = []
@@ -53,25 +57,50 @@ class Code:
             c = rng.standard_normal((words, b - a))
             self.words.append(c / np.linalg.norm(c, axis=1, keepdims=True))
         self.count = words**blocks
-        self.height = NormalDist().inv_cdf(1 - min(0.5, passes / words**blocks)) * (blocks / size) ** 0.5
 
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the numbers of all filters whose cap it exceeds."""
-        y = x @ self.turn
-        parts = [y[:, a:b] @ c.T for (a, b), c in zip(zip(self.cuts, self.cuts[1:]), self.words)]
-        rest = np.cumsum([p.max(axis=1) for p in parts[::-1]], axis=0)[::-1]  # best that blocks from j on can add
-        out = []
-        for i in range(len(x)):
-            total, name = np.zeros(1), np.zeros(1, np.int64)
-            for j, p in enumerate(parts):
-                after = rest[j + 1][i] if j + 1 < len(parts) else 0.0
-                # only words that can reach the height with the best partial sum and the best rest
-                able = np.flatnonzero(p[i] + total.max(initial=-9.0) + after >= self.height)
-                sums = total[:, None] + p[i][able][None, :]
-                a, b = np.nonzero(sums + after >= self.height)
-                total, name = sums[a, b], name[a] * len(self.words[j]) + able[b]
-            out.append(np.sort(name))
-        return out
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """For each unit vector the numbers of the filters nearest to it, a row of ``passes`` each."""
+        step = max(1, (1 << 22) // len(self.words[0]))
+        parts = [self._nearest(x[i : i + step] @ self.turn) for i in range(0, len(x), step)]
+        return np.concatenate(parts) if parts else np.empty((0, self.passes), np.int64)
+
+    def _nearest(self, y: np.ndarray) -> np.ndarray:
+        total = name = None
+        for (a, b), c in zip(zip(self.cuts, self.cuts[1:]), self.words):
+            p = y[:, a:b] @ c.T
+            k = min(self.passes, len(c))
+            able = np.argpartition(-p, k - 1, axis=1)[:, :k]
+            best = np.take_along_axis(p, able, axis=1)
+            order = np.argsort(-best, axis=1)
+            best, able = np.take_along_axis(best, order, axis=1), np.take_along_axis(able, order, axis=1)
+            if total is None:
+                total, name = best, able.astype(np.int64)
+                continue
+            # the i-th and j-th best words of the halves have i * j better or equal sums, themselves included
+            i, j = np.nonzero(np.outer(np.arange(1, total.shape[1] + 1), np.arange(1, k + 1)) <= self.passes)
+            sums, names = total[:, i] + best[:, j], name[:, i] * len(c) + able[:, j]
+            top = np.argpartition(-sums, self.passes - 1, axis=1)[:, : self.passes]
+            total, name = np.take_along_axis(sums, top, axis=1), np.take_along_axis(names, top, axis=1)
+        return np.sort(name, axis=1)
+
+
+def missed(code: Code, size: int, pairs: int = MODEL_PAIRS) -> float:
+    """Share of random pairs at the threshold that have no filter of the code in common."""
+    rng = np.random.default_rng(SEED)
+    x = unit(rng.standard_normal((pairs, size)))
+    y = x
+    if size > 1:
+        aside = rng.standard_normal((pairs, size))
+        y = COSINE * x + (1 - COSINE**2) ** 0.5 * unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+    return sum(not np.intersect1d(f, g, assume_unique=True).size for f, g in zip(code.decode(x), code.decode(y))) / pairs
+
+
+def product_codes(size: int, rows: int) -> list[Code]:
+    """As many independent codes as lose at most MISSED of the pairs at the threshold, REPEATS at least."""
+    codes = [Code(size, rows, SEED + i) for i in range(REPEATS)]
+    lost = (missed(codes[0], size) * MODEL_PAIRS + 1) / (MODEL_PAIRS + 1)
+    more = int(np.ceil(np.log(MISSED) / np.log(min(lost, 0.9))))
+    return codes + [Code(size, rows, SEED + i) for i in range(REPEATS, more)]
 
 
 def _local_components(linked: np.ndarray) -> np.ndarray:
@@ -118,16 +147,15 @@ _OUT = pa.schema([("c", pa.int64()), ("links", pa.int64()), ("root", pa.int64())
 def links(classes: DataFrame, size: int, rows: int) -> DataFrame:
     """``classes(c, label, embedding, n)`` -> (c, links, root): partial link sums and forest edges, to be summed up."""
     spark = classes.sparkSession
-    codes = spark.sparkContext.broadcast([Code(size, rows, SEED + i) for i in range(REPEATS)])  # sqrt (or cube root) of the rows, times the size
+    codes = spark.sparkContext.broadcast(product_codes(size, rows))  # sqrt of the rows, times the size
 
     def decode(batches):
         for b in batches:
             if len(b):
                 x = unit(matrix(b.column("embedding"), size))
-                each = [code.decode(x) for code in codes.value]
-                found = [np.concatenate([f + k * codes.value[0].count for k, f in enumerate(fs)]) for fs in zip(*each)]
-                row = pa.array(np.repeat(np.arange(len(b)), [len(f) for f in found]), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("c").take(row), b.column("label").take(row), pa.array(np.concatenate(found), pa.int64())], ["c", "label", "f"])
+                found = np.concatenate([code.decode(x) + k * code.count for k, code in enumerate(codes.value)], axis=1)
+                row = pa.array(np.repeat(np.arange(len(b)), found.shape[1]), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("c").take(row), b.column("label").take(row), pa.array(found.ravel(), pa.int64())], ["c", "label", "f"])
 
     member = checkpointed(classes.mapInArrow(decode, f"c long, label {dict(classes.dtypes)['label']}, f long"))
     met = member.groupBy("label", "f").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -135,26 +163,41 @@ def links(classes: DataFrame, size: int, rows: int) -> DataFrame:
     own = member.groupBy("c").agg(F.collect_list("f").alias("filters"))
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     split = member.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    # a filter of several blocks is a key of its own; smaller ones share a batch, since a call costs more than their comparison
+    batches = -(-member.count() // (2 * BLOCK)) or 1
+    batch = F.when(F.col("parts") > 1, F.col("f")).otherwise(-1 - F.pmod(F.xxhash64("label", "f"), F.lit(batches)))
     pairs = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "c", "label", "f", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        "c", "label", "f", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+        F.when(F.col("parts") > 1, F.col("label")).alias("hot"), batch.alias("batch"))
     body = classes.select("c", "n", "embedding").join(own, "c")
     work = pairs.join(body, "c")
 
     def verify(key, group):
-        if len(group) < 2:
-            return _OUT.empty_table()
-        ids = group.column("c").to_numpy()
-        order = np.argsort(ids)
-        filters = group.column("filters").to_pylist()
-        got = _compare(ids[order], unit(matrix(group.column("embedding"), size))[order], group.column("n").to_numpy()[order].astype(np.int64),
-                       [np.array(filters[i], np.int64) for i in order], group.column("part").to_numpy()[order], key[1].as_py(), key[2].as_py() != key[3].as_py())
-        if got is None:
+        label = pc.rank(group.column("label"), tiebreaker="min").to_numpy()
+        ids, f, part = (group.column(k).to_numpy() for k in ("c", "f", "part"))
+        order = np.lexsort((ids, label, f))
+        ids, f, part, label = ids[order], f[order], part[order], label[order]
+        x, weight = unit(matrix(group.column("embedding"), size))[order], group.column("n").to_numpy()[order].astype(np.int64)
+        lists = group.column("filters").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
+        starts = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (label[1:] != label[:-1])])
+        out = []
+        for a, b in zip(starts, np.r_[starts[1:], len(ids)]):
+            if b - a < 2:
+                continue
+            y = x[a:b]
+            if b - a == 2 and y[0] @ y[1] < COSINE - 1e-9:  # most filters
+                continue
+            filters = [flat[ends[r - 1] if r else 0 : ends[r]] for r in order[a:b]]
+            got = _compare(ids[a:b], y, weight[a:b], filters, part[a:b], f[a], key[2].as_py() != key[3].as_py())
+            if got is not None:
+                some = np.flatnonzero((got[0] > 0) | (got[1] != np.arange(b - a)))
+                out.append((ids[a:b][some], got[0][some].astype(np.int64), ids[a:b][got[1]][some]))
+        if not out:
             return _OUT.empty_table()
-        some = np.flatnonzero((got[0] > 0) | (got[1] != np.arange(len(ids))))
-        ids = ids[order]
-        return pa.table([pa.array(ids[some]), pa.array(got[0][some].astype(np.int64)), pa.array(ids[got[1]][some])], schema=_OUT)
+        return pa.table([pa.array(np.concatenate(v)) for v in zip(*out)], schema=_OUT)
 
-    return work.groupBy("label", "f", "i", "j").applyInArrow(verify, "c long, links long, root long")
+    return work.groupBy("hot", "batch", "i", "j").applyInArrow(verify, "c long, links long, root long")
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:

@@ -68,6 +68,22 @@ def test_caps_blocks_count_each_pair_once(spark, monkeypatch):
     test_caps_equal_brute_force(spark)
 
 
+@pytest.mark.parametrize("rows", [2_000, 131_100, 500_000])
+def test_caps_lose_no_pair_at_the_threshold(rows):
+    rng = np.random.default_rng(8)
+    x, aside = rng.standard_normal((2, 150, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + (1 - 0.93**2) ** 0.5 * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    shared = np.zeros(150, bool)
+    for seed in range(caps.REPEATS):
+        code = caps.Code(64, rows, seed)
+        f, g = code.decode(x), code.decode(y)
+        assert {len(v) for v in [*f, *g]} == {caps.PASSES}  # every vector is in as many filters
+        shared |= [np.intersect1d(a, b).size > 0 for a, b in zip(f, g)]
+    assert shared.all()
+
+
 @pytest.mark.parametrize("run", [
     lambda s: ann.search(s.createDataFrame([], EMB), s.createDataFrame([], EMB)),
     lambda s: caps.near_duplicates(s.createDataFrame([], EMB)),
