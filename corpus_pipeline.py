@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; documents stay, n_chars follows the text."""
-    out = linededup.drop_recurring_lines(docs)
+    """Lines of recurring templates go, however short; documents stay, n_chars follows the text."""
+    out = linededup.drop_recurring_lines(docs, min_tokens=1)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

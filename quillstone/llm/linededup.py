@@ -10,7 +10,8 @@ Templates are 96-bit hashes with a document id; no line text is shuffled to find
 pre-aggregated to one (min, max) per task, and joining them back is a plain join whose hot keys Spark splits.
 
 Edge cases: rows of one doc_id, and all rows of null doc_id, count as one document; a null text stays null;
-empty lines and lines under ``min_tokens`` tokens always stay; a text that loses no line is returned unchanged,
+blank lines and lines under ``min_tokens`` tokens always stay (the pipeline takes
+every line; op1 keeps those under 3, as its SQL does), shorter lines of fields alone are matched as they are; a text that loses no line is returned unchanged,
 otherwise its lines are joined by ``\\n``.  Columns beside doc_id and text pass through.
 """
 
@@ -42,19 +43,23 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("d", "h", "pos", F.explode(F.array(value)).alias(name))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(d, h, pos, tokens) of the lines with at least MIN_TOKENS tokens."""
+def _lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """(d, h, pos, tokens) of the lines with at least min_tokens tokens, blank lines never."""
     # hashed below the generator: beside it, the whole text would be hashed again for each of its lines
     named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"), "text")
     lines = named.select("d", "h", F.posexplode(_split_lines(F.col("text"))).alias("pos", "line"))
-    tokens = F.split(F.btrim(_masked(F.col("line")), F.lit(" \t\n\x0b\f\r")), WHITE)
-    return _once(lines, "tokens", tokens).where(F.size("tokens") >= MIN_TOKENS)
+    words = lambda line: F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), WHITE)
+    tokens = words(_masked(F.col("line")))
+    if min_tokens < MIN_TOKENS:  # a short line of fields alone says nothing once generalised: it must recur as it is
+        bare = (F.size(tokens) < MIN_TOKENS) & F.forall(tokens, lambda t: t == "<*>")
+        tokens = F.when(bare, words(F.col("line"))).otherwise(tokens)
+    return _once(lines, "tokens", tokens).where((F.size("tokens") >= min_tokens) & (F.get("tokens", F.lit(0)) != ""))
 
 
 def _templates(lines: DataFrame) -> DataFrame:
     """(d, h, pos, a, b): a row for each template key of each line."""
     tokens, n = F.col("tokens"), F.size("tokens")
-    at = [(F.floor((n - DEPTH) * j / QUARTERS) + DEPTH).cast("int") for j in range(QUARTERS + 1)]
+    at = [(F.floor(F.greatest(n - DEPTH, F.lit(0)) * j / QUARTERS) + DEPTH).cast("int") for j in range(QUARTERS + 1)]
     parts = [F.slice(tokens, at[j] + 1, at[j + 1] - at[j]) for j in range(QUARTERS)]
     hashed = [F.xxhash64(n, F.slice(tokens, 1, DEPTH)).alias("lead"), n.alias("n")]
     hashed += [f(p).alias(f"{k}{j}") for k, f in (("a", F.xxhash64), ("b", F.hash)) for j, p in enumerate(parts)]
@@ -70,18 +75,18 @@ def _templates(lines: DataFrame) -> DataFrame:
     return once.select("d", "h", "pos", F.inline(keys).alias("a", "b"))
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(d, h, positions): 0-based lines to drop, by document id and text hash."""
-    keys = _templates(_lines(docs))
+    keys = _templates(_lines(docs, min_tokens))
     recur = keys.groupBy("a", "b").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("a", "b", "least")
     gone = keys.join(recur, ["a", "b"]).where("d > least")
     return gone.groupBy("d", "h").agg(F.collect_set("pos").alias("positions"))
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The documents with ``text`` rewritten, plus n_lines and n_dropped (both int; they replace columns of those names)."""
     mine = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"))
-    both = mine.join(recurring_lines(docs), ["d", "h"], "left").withColumn("lines", _split_lines(F.col("row.text")))
+    both = mine.join(recurring_lines(docs, min_tokens), ["d", "h"], "left").withColumn("lines", _split_lines(F.col("row.text")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("positions"))
     text = F.when(F.col("positions").isNull(), F.col("row.text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))

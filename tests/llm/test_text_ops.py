@@ -122,6 +122,14 @@ def test_line_dedup_matches_brute_force(spark):
     assert sum(w[3] for w in want) > 60
 
 
+def test_pipeline_drops_recurring_short_lines(spark):
+    import corpus_pipeline
+
+    rows = [doc(1, "Les.\n\nAnd ornd.\nx"), doc(2, "Les.\n\n  \ny z"), doc(3, "And ornd.\r\n7\na b c"), doc(4, "9\nz y\na b c"), doc(5, ""), doc(6, "7\nz 1"), doc(7, "z 2")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, frame(spark, rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "\n  \ny z", 3: "7\na b c", 4: "9\nz y", 5: "", 6: "z 1", 7: ""}
+
+
 def test_line_dedup_is_native(spark):
     plan = linededup.drop_recurring_lines(frame(spark, EDGE))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
