@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import automata, vecindex
 from ..sources.corpus import table
-from .search import _KNN
+from .search import _KNN, knn_graph_edges_whole
 
 #: Balanced brackets of one kind, without the empty word.
 DYCK = automata.Grammar("S", (("S", "S", "S"), ("S", "L", "R"), ("S", "L", "T"), ("T", "S", "R")), (("L", "("), ("R", ")")))
@@ -46,8 +46,16 @@ def nearest_other_label(spark, sf):
 
 
 def knn_bfs(spark, sf):
-    """Vectors within three steps of vector 0 in the undirected five-neighbour graph."""
-    edges = vecindex.undirected(_near(spark, sf, 5), "query_id", "vec_id")
+    """Vectors within three steps of vector 0 over the edges between every hundredth vector and its five nearest."""
+    return _within_three(vecindex.undirected(_near(spark, sf, 5), "query_id", "vec_id"))
+
+
+def knn_bfs_whole(spark, sf):
+    """Vectors within three steps of vector 0 in the undirected five-neighbour graph of all vectors."""
+    return _within_three(knn_graph_edges_whole(spark, sf))
+
+
+def _within_three(edges):
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     return vecindex.breadth_first(both, 0, 3).select("node", F.col("level").cast("long"))
 
@@ -98,7 +106,7 @@ def dialogue_repairs(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    pak_grouping_sets, precision_recall_at_k, nearest_other_label, knn_bfs, masked_tokens, weighted_sample, dfa_filter, dialogue_distance, dialogue_repairs)}
+    pak_grouping_sets, precision_recall_at_k, nearest_other_label, knn_bfs, knn_bfs_whole, masked_tokens, weighted_sample, dfa_filter, dialogue_distance, dialogue_repairs)}
 _LABELLED = "l AS (SELECT k.*, a.label, b.label AS q_label FROM k JOIN embeddings a ON a.vec_id = k.vec_id JOIN embeddings b ON b.vec_id = k.query_id)"
 ORACLE_SQL = {
     "pak_grouping_sets": f"""WITH {_KNN % 10}, {_LABELLED},

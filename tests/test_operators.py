@@ -131,3 +131,24 @@ def test_lcs_distance_equals_brute_force(spark):
 def test_common_substring(spark, strings, want):
     df = spark.createDataFrame([(strings,)], "s array<string>")
     assert df.select(sequences.common_substring(F.col("s"))).first()[0] == want
+
+
+def test_whole_neighbour_graph_matches_brute_force(spark):
+    import numpy as np
+
+    from quillstone.plans import evaluation, search
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    edges = set()
+    for i in range(len(ids)):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        near = [j for j in np.lexsort((ids, d)) if j != i][:5]
+        edges |= {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in near}
+    assert {(r["u"], r["v"]) for r in search.knn_graph_edges_whole(spark, sf).collect()} == edges
+    level, front = {0: 0}, {0}
+    for step in (1, 2, 3):
+        front = {b if a in front else a for a, b in edges if (a in front) != (b in front)} - set(level)
+        level |= dict.fromkeys(front, step)
+    assert {r["node"]: r["level"] for r in evaluation.knn_bfs_whole(spark, sf).collect()} == level
