@@ -2,9 +2,10 @@
 
 The index is fitted on a bounded sample (``SAMPLE`` vectors of smallest hash): k-means centroids, and for each of
 ``PARTS`` sub-spaces 256 centroids of the residuals.  Every row is indexed: its list and its code.  Lists are
-packed into shards of bounded size (a large list takes several), query vectors go to the shards that hold one of
-their probed lists, in chunks of bounded size.  There asymmetric tables (query sub-vector times sub-centroid)
-score the codes, and the best of them are reranked by cosine on the original vectors in double precision.
+packed into shards of bounded size (a large list takes several, dealt by hash), and each index row is shuffled once.
+A query goes once to each shard that holds one of its probed lists.  A task holds one shard, at most about ``SHARD``
+vectors, and the queries stream by: asymmetric tables (query sub-vector times sub-centroid) score the codes, and the
+best of them are reranked by cosine on the original vectors in double precision.
 
 Copies of a vector: only the k + 1 smallest ids of equal vectors are indexed, which is exact, since ties go to
 smaller ids; equal query vectors are searched once.  Both keep a vector with very many copies from skewing.
@@ -12,27 +13,29 @@ smaller ids; equal query vectors are searched once.  Both keep a vector with ver
 Random directions are the hard case: there a large share of the lists has to be probed for the wanted recall
 (``PROBED``, chosen by measured recall at or above 0.9 of the true neighbours on such data).
 
-Edge cases: vectors that are null, empty, zero or hold null or non-finite components, those of another size than
-most, and rows of null vec_id take no part; repeated rows count once; fewer candidates than k are all returned;
-an empty table gives an empty result.
+Edge cases: vectors that are null, empty, zero or hold null or non-finite components and rows of null vec_id take no
+part; queries meet candidates of their own length only, each length has its own index; repeated rows count once;
+fewer candidates than k are all returned, as far as they are found; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
-from .vectors import cosines, matrix, most_common_size, unit, usable
+from .vectors import cosines, matrix, sizes, unit, usable
 
 SAMPLE = 20_000
 PARTS = 16
 PROBED = 0.6
 RERANK = 96
 SHARD = 8192
-CHUNK = 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
@@ -86,121 +89,161 @@ class Index:
         return [q[:, a:b] @ c.T for a, b, c in zip(self.cuts, self.cuts[1:], self.codes)]
 
 
-def _vectors(rows: DataFrame) -> tuple[DataFrame, int]:
-    own = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    size = most_common_size(own)
-    return own.where(F.size("embedding") == size), size
+_RESULT = "query_id long, rank int, vec_id long, score double"
+
+
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 5, probed: float = PROBED, rerank: int = RERANK) -> DataFrame:
     """``rows(vec_id, embedding)``, ``queries(vec_id, embedding)`` -> (query_id, rank, vec_id, score)."""
-    spark = rows.sparkSession
-    own, size = _vectors(rows)
-    result = "query_id long, rank int, vec_id long, score double"
-    if not size:
-        return spark.createDataFrame([], result)
+    own, asked = _usable(rows), _usable(queries).withColumnRenamed("vec_id", "query_id").distinct()
     same = Window.partitionBy("embedding").orderBy("vec_id")
     own = own.withColumn("nth", F.dense_rank().over(same)).where(F.col("nth") <= k + 1).drop("nth")
-    count = own.count()
+    found = [_search(own, asked, size, count, k, probed, rerank) for size, count in sizes(own)]
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], _RESULT)
+
+
+def _shards(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """First shard and number of shards of each list: small lists share one, a large list takes several."""
+    first, pieces = np.zeros(max(counts) + 1, np.int32), np.zeros(max(counts) + 1, np.int32)
+    shards = filled = 0
+    for lst in sorted(counts):
+        n = counts[lst]
+        if filled and filled + n > SHARD:
+            shards, filled = shards + 1, 0
+        first[lst] = shards
+        pieces[lst] = max(1, -(-n // SHARD))
+        if n > SHARD:
+            shards += int(pieces[lst])
+        else:
+            filled += n
+    return first, pieces, shards + (filled > 0)
+
+
+def _search(own: DataFrame, asked: DataFrame, size: int, count: int, k: int, probed: float, rerank: int) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = own.sparkSession
+    own, asked = own.where(F.size("embedding") == size), asked.where(F.size("embedding") == size)
     sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     index = spark.sparkContext.broadcast(Index(matrix(sample.column("embedding"), size), count))
+    kind = dict(own.dtypes)["embedding"]
 
-    def assign(batches):
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, code = index.value.assign(matrix(b.column("embedding"), size))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "embedding", "list", "code"])
 
-    indexed = checkpointed(own.mapInArrow(assign, f"vec_id long, embedding {dict(own.dtypes)['embedding']}, list int, code binary"))
+    indexed = checkpointed(own.mapInArrow(assign, f"vec_id long, embedding {kind}, list int, code binary"))
     # lists packed into shards: at most one row per list comes to the driver
     counts = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
-    first, pieces, shards, filled = {}, {}, 0, 0
-    for lst in sorted(counts):
-        n = counts[lst]
-        if n > SHARD:
-            if filled:
-                shards, filled = shards + 1, 0
-            pieces[lst] = -(-n // SHARD)
-            first[lst] = shards
-            shards += pieces[lst]
-        else:
-            if filled + n > SHARD:
-                shards, filled = shards + 1, 0
-            first[lst], pieces[lst] = shards, 1
-            filled += n
+    first, pieces, shards = _shards(counts)
     where = spark.sparkContext.broadcast((first, pieces))
+    distinct = checkpointed(asked.groupBy("embedding").agg(F.min("query_id").alias("q")))
 
-    asked = queries.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")) & (F.size("embedding") == size)).select(F.col("vec_id").cast("long").alias("query_id"), "embedding").distinct()
-    distinct = asked.groupBy("embedding").agg(F.min("query_id").alias("q"))
-    distinct = checkpointed(distinct)
-    chunks = max(1, -(-distinct.count() // CHUNK))
-
-    def route(batches):
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query goes once to each shard that holds some of its lists."""
         first, pieces = where.value
         for b in batches:
-            if not len(b):
-                continue
-            probes = index.value.probe(matrix(b.column("embedding"), size), probed)
-            shard, row, lists = [], [], []
-            for i, own in enumerate(probes.tolist()):
-                to: dict[int, list[int]] = {}
-                for lst in own:
-                    for s in range(first.get(lst, 0), first.get(lst, 0) + pieces.get(lst, 0)):
-                        to.setdefault(s, []).append(lst)
-                shard += to.keys()
-                lists += to.values()
-                row += [i] * len(to)
-            take = pa.array(row, pa.int64())
-            q = b.column("q").take(take)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.asarray(q) % chunks, pa.int32()), q, b.column("embedding").take(take), pa.array(lists, pa.list_(pa.int32()))], ["shard", "chunk", "q", "embedding", "lists"])
+            for at in range(0, len(b), 256):
+                own = b.slice(at, 256)
+                if not len(own):
+                    continue
+                probes = index.value.probe(matrix(own.column("embedding"), size), probed)
+                row = np.repeat(np.arange(len(own)), probes.shape[1])
+                lst = probes.ravel()
+                known = (lst < len(first)) & (pieces[np.minimum(lst, len(first) - 1)] > 0)
+                row, lst = row[known], lst[known]
+                n = pieces[lst]  # a list of several shards is looked for in each of them
+                to = np.repeat(first[lst] + n - np.cumsum(n), n) + np.arange(n.sum())
+                pairs = np.unique(np.repeat(row, n) * shards + to)
+                take = pa.array(pairs // shards, pa.int64())
+                none = pa.nulls(len(take), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pairs % shards, pa.int32()), pa.array(np.ones(len(take), np.int32)), own.column("q").take(take), own.column("embedding").take(take), none, pa.nulls(len(take), pa.binary())],
+                    ["shard", "asks", "id", "embedding", "list", "code"])
+
+    fields = f"shard int, asks int, id long, embedding {kind}, list int, code binary"
+    sent = distinct.mapInArrow(route, fields)
+    spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).cast("int")  # deals a large list over its shards
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, pieces = where.value
+        for b in batches:
+            lst = b.column("list").to_numpy()
+            shard = first[lst] + b.column("spread").to_numpy() % pieces[lst]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard, pa.int32()), pa.array(np.zeros(len(b), np.int32)), b.column("vec_id"), b.column("embedding"), b.column("list"), b.column("code")],
+                ["shard", "asks", "id", "embedding", "list", "code"])
 
-    kind = dict(own.dtypes)["embedding"]
-    sent = distinct.mapInArrow(route, f"shard int, chunk int, q long, embedding {kind}, lists array<int>")
+    placed = indexed.withColumn("spread", spread).mapInArrow(place, fields)
 
-    def place(batches):
-        first, pieces = where.value
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's vectors come first and are held, the queries that ask it stream by."""
+        shard, held, ready = None, [], None
         for b in batches:
-            ids = b.column("vec_id").to_numpy(zero_copy_only=False)
-            shard = [first[lst] + i % pieces[lst] for lst, i in zip(b.column("list").to_pylist(), ids.tolist())]
-            for c in range(chunks):
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.full(len(b), c), pa.int32()), *b.columns], ["shard", "chunk", *b.schema.names])
-
-    placed = indexed.mapInArrow(place, f"shard int, chunk int, vec_id long, embedding {kind}, list int, code binary")
-
-    def scan(mine: pa.Table, asks: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if len(mine) and len(asks):
-            ix = index.value
-            ids = mine.column("vec_id").to_numpy()
-            x = matrix(mine.column("embedding"), size)
-            lists = mine.column("list").to_numpy()
-            code = np.frombuffer(b"".join(mine.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            q = matrix(asks.column("embedding"), size)
-            names, probes = asks.column("q").to_numpy(), asks.column("lists").to_pylist()
-            uq = unit(q)
-            for a in range(0, len(q), 128):
-                tables = ix.tables(uq[a : a + 128])
-                score = (uq[a : a + 128] @ ix.lists.T)[:, lists]
-                for m, t in enumerate(tables):
-                    score += t[:, code[:, m]]
-                for i in range(len(score)):
-                    open_ = np.flatnonzero(np.isin(lists, probes[a + i]))
-                    if len(open_) > rerank:
-                        open_ = open_[np.argpartition(-score[i, open_], rerank - 1)[:rerank]]
-                    exact = cosines(x[open_], np.broadcast_to(q[a + i], (len(open_), size)))
-                    best = np.lexsort((ids[open_], -exact))[: k + 1]
-                    out.append((np.full(len(best), names[a + i]), ids[open_][best], exact[best]))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
-        return pa.table({"q": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    key = ["shard", "chunk"]
-    found = placed.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(scan, "q long, vec_id long, score double")
+            for t, asks in _segments(b):
+                if t.column("shard")[0].as_py() != shard:
+                    shard, held, ready = t.column("shard")[0].as_py(), [], None
+                if not asks:
+                    held.append(t)
+                elif held:
+                    ready = ready or _Shard(pa.Table.from_batches(held), size)
+                    for at in range(0, len(t), 128):
+                        yield ready.answer(t.slice(at, 128), index.value, probed, rerank, k + 1)
+
+    work = placed.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+    found = work.mapInArrow(scan, "q long, vec_id long, score double")
     order = [F.desc("score"), F.asc("vec_id")]
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("nth") <= k + 1).drop("nth")
-    names = asked.join(distinct, "embedding").select("q", "query_id")
-    each = names.join(best, "q").where("vec_id <> query_id")
+    each = asked.join(distinct, "embedding").select("q", "query_id").join(best, "q").where("vec_id <> query_id")
     return each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _segments(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """The batch cut where the shard or the kind of row changes."""
+    if not len(b):
+        return
+    shard, asks = b.column("shard").to_numpy(), b.column("asks").to_numpy()
+    cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(asks) != 0)) + 1
+    for a, e in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(b)].tolist()):
+        yield b.slice(a, e - a), bool(asks[a])
+
+
+class _Shard:
+    """A bounded part of the index in a task's memory, its vectors by list."""
+
+    def __init__(self, rows: pa.Table, size: int):
+        lists = rows.column("list").to_numpy()
+        order = np.argsort(lists, kind="stable")
+        self.size, self.lists = size, lists[order]
+        self.ids = rows.column("id").to_numpy()[order]
+        self.x = matrix(rows.column("embedding"), size)[order]
+        self.code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(lists), -1)[order]
+        self.names, self.at = np.unique(self.lists, return_inverse=True)
+
+    def answer(self, asks: pa.RecordBatch, index: Index, probed: float, rerank: int, most: int) -> pa.RecordBatch:
+        q, names = matrix(asks.column("embedding"), self.size), asks.column("id").to_numpy()
+        uq = unit(q)
+        probe = np.zeros((len(q), len(index.lists)), bool)
+        np.put_along_axis(probe, index.probe(q, probed), True, axis=1)
+        score = (uq @ index.lists[self.names].T)[:, self.at]
+        for m, t in enumerate(index.tables(uq)):
+            score += t[:, self.code[:, m]]
+        score[~probe[:, self.names][:, self.at]] = -np.inf
+        out = []
+        for i in range(len(q)):
+            able = np.flatnonzero(score[i] > -np.inf)
+            if len(able) > rerank:
+                able = able[np.argpartition(-score[i, able], rerank - 1)[:rerank]]
+            exact = cosines(self.x[able], np.broadcast_to(q[i], (len(able), self.size)))
+            best = np.lexsort((self.ids[able], -exact))[:most]
+            out.append((np.full(len(best), names[i]), self.ids[able][best], exact[best]))
+        cols = [np.concatenate(c) for c in zip(*out)]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["q", "vec_id", "score"])
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(rows, rows.where(F.col("vec_id") % 50 == 0))

@@ -3,41 +3,50 @@
 A filter is a unit direction; a vector is in the ``PASSES`` filters nearest to it, so its cap's height is its own and
 no vector is left out.  Directions are structured: the rotated space is cut in two halves, each half has a random
 code, and a filter is one code word of each, so the nearest filters are found among the best words of the halves.
-The number of filters grows with the table (``PASSES`` a vector).
+There are as many filters as make a filter hold ``MEMBERS`` vectors on average, at every size.
 
 A pair is lost if it shares no filter of any code.  A code's rotation is uniform, so the chance depends only on the
 pair's cosine, not on the data: it is measured for the table's size on random pairs at the threshold, and codes are
-added beyond ``REPEATS`` until it is at most ``MISSED``.
+added until it is at most ``MISSED``.
 
-Vectors join on (label, filter).  Filters with one vector go before any embedding is shuffled.  A filter's
-vectors are split in blocks, and a task compares two blocks: it verifies cosines, counts a pair only in the
-smallest filter that both are in, and returns sums of links and a spanning forest, never the pairs.
+Vectors join on (label, filter) in two steps.  First only 128-bit sign sketches travel: a vector stays in a filter if
+another one of it is within ``_reach`` bits, which a pair at the threshold exceeds with a chance of at most ``SKETCH_MISSED``.
+Then the embeddings of those that stay travel, and cosines are verified.  A task sees at most two blocks of a
+filter's vectors, so a filter of very many is dealt over many tasks; it counts a pair only in the smallest filter that
+both are in (filters are decoded anew, not shipped), and returns sums of links and a spanning forest, never the pairs.
 
 Copies are one class: a class is compared once and weighs as many vectors.
 
-Edge cases: vectors that are null, empty, zero, hold null or non-finite components, or are of another size than
-most, rows of null label and rows of null vec_id link with nothing (component_id is the own vec_id); repeated
-rows are vectors of their own; an empty table gives an empty result.
+Edge cases: vectors that are null, empty, zero, hold null or non-finite components, rows of null label and rows of
+null vec_id link with nothing (component_id is the own vec_id); vectors of different lengths never link, each length
+is compared by itself; repeated rows are vectors of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from math import comb
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, runs, table
 from .graph import connected_components
-from .vectors import matrix, most_common_size, unit, usable
+from .vectors import matrix, sizes, unit, usable
 
 COSINE = 0.93
-PASSES = 32
-REPEATS = 5
-MISSED = 1e-6
-MODEL_PAIRS = 2000
-BLOCK = 1024
+PASSES = 4
+MEMBERS = 4096
+MISSED = 1e-5
+SKETCH_MISSED = 1e-7
+SKETCH_BITS = 128
+MODEL_PAIRS = 4000
+BLOCK = 2048
+#: Filters of several blocks are broadcast up to this number, joined otherwise.
+HOT_BROADCAST = 100_000
 SEED = 11
 
 
@@ -46,7 +55,7 @@ class Code:
 
     def __init__(self, size: int, rows: int, seed: int = SEED, passes: int = PASSES):
         rng = np.random.default_rng(seed)
-        want = max(64, rows * passes)
+        want = max(64, rows * passes / MEMBERS)
         blocks = 1 if size < 8 else 2
         words = int(np.ceil(want ** (1 / blocks)))
         self.passes = passes
@@ -84,30 +93,56 @@ class Code:
         return np.sort(name, axis=1)
 
 
+def pairs_at(cosine: float, size: int, pairs: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at one cosine."""
+    rng = np.random.default_rng(seed)
+    x = unit(rng.standard_normal((pairs, size)))
+    if size == 1:
+        return x, x
+    aside = rng.standard_normal((pairs, size))
+    return x, cosine * x + (1 - cosine**2) ** 0.5 * unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
+
+
 def missed(code: Code, size: int, pairs: int = MODEL_PAIRS) -> float:
     """Share of random pairs at the threshold that have no filter of the code in common."""
-    rng = np.random.default_rng(SEED)
-    x = unit(rng.standard_normal((pairs, size)))
-    y = x
-    if size > 1:
-        aside = rng.standard_normal((pairs, size))
-        y = COSINE * x + (1 - COSINE**2) ** 0.5 * unit(aside - (aside * x).sum(axis=1, keepdims=True) * x)
-    return sum(not np.intersect1d(f, g, assume_unique=True).size for f, g in zip(code.decode(x), code.decode(y))) / pairs
+    x, y = pairs_at(COSINE, size, pairs)
+    f, g = code.decode(x), code.decode(y)
+    return float((f[:, :, None] != g[:, None, :]).all(axis=(1, 2)).mean())
+
+
+def _reach() -> int:
+    """Most sketch bits in which a pair at the threshold differs, but for a chance of SKETCH_MISSED."""
+    p, tail, at = np.arccos(COSINE) / np.pi, 1.0, -1
+    while tail > SKETCH_MISSED:
+        at += 1
+        tail -= comb(SKETCH_BITS, at) * p**at * (1 - p) ** (SKETCH_BITS - at)
+    return at
+
+
+class Filters:
+    """As many independent codes as lose at most MISSED of the pairs at the threshold, and the sketch's hyperplanes."""
 
+    def __init__(self, size: int, rows: int):
+        first = Code(size, rows, SEED)
+        lost = (missed(first, size) * MODEL_PAIRS + 1) / (MODEL_PAIRS + 1)
+        more = int(np.ceil(np.log(MISSED) / np.log(min(lost, 0.9))))
+        self.codes = [first] + [Code(size, rows, SEED + i) for i in range(1, more)]
+        self.planes = np.random.default_rng(SEED - 1).standard_normal((size, SKETCH_BITS))
+        self.reach = _reach()
 
-def product_codes(size: int, rows: int) -> list[Code]:
-    """As many independent codes as lose at most MISSED of the pairs at the threshold, REPEATS at least."""
-    codes = [Code(size, rows, SEED + i) for i in range(REPEATS)]
-    lost = (missed(codes[0], size) * MODEL_PAIRS + 1) / (MODEL_PAIRS + 1)
-    more = int(np.ceil(np.log(MISSED) / np.log(min(lost, 0.9))))
-    return codes + [Code(size, rows, SEED + i) for i in range(REPEATS, more)]
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([code.decode(x) + k * code.count for k, code in enumerate(self.codes)], axis=1)
+
+    def sketch(self, x: np.ndarray) -> np.ndarray:
+        return np.packbits(x @ self.planes > 0, axis=1).view(np.int64)
 
 
 def _local_components(linked: np.ndarray) -> np.ndarray:
     """Smallest index reachable, over a symmetric boolean matrix."""
-    label = np.arange(len(linked))
+    n = len(linked)
+    label = np.arange(n)
     while True:
-        low = np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label))
+        low = np.concatenate([np.where(linked[a : a + 256], label[None, :], n).min(axis=1, initial=n) for a in range(0, n, 256)])
         now = np.minimum(label, low)
         now = np.minimum(now, now[now])
         if (now == label).all():
@@ -115,113 +150,131 @@ def _local_components(linked: np.ndarray) -> np.ndarray:
         label = now
 
 
-def _compare(ids, x, weight, filters, side, mine: int, two_blocks: bool):
+def _compare(x, weight, filters: np.ndarray, part, mine: int):
     """Links inside one block, or between two, whose smallest common filter is this one, and a forest of all links."""
-    n = len(ids)
-    close = (x @ x.T >= COSINE - 1e-9) & ~np.eye(n, dtype=bool)
-    if two_blocks:
-        close &= side[:, None] != side[None, :]
-    a, b = np.nonzero(np.triu(close))
-    if len(a):  # the comparison that counts, in one order of summation
-        fine = (x[a] * x[b]).sum(axis=1) >= COSINE
-        close[:] = False
-        close[a[fine], b[fine]] = close[b[fine], a[fine]] = True
-    if not close.any():
+    n = len(x)
+    close = np.zeros((n, n), bool)
+    for a in range(0, n, 512):
+        close[a : a + 512] = x[a : a + 512] @ x.T >= COSINE - 1e-9
+    if part.min() != part.max():
+        close &= part[:, None] != part[None, :]
+    a, b = np.nonzero(np.triu(close, 1))
+    close[:] = False
+    fine = np.empty(len(a), bool)
+    for s in range(0, len(a), 1 << 16):  # the comparison that counts, in one order of summation
+        t = slice(s, s + (1 << 16))
+        fine[t] = (x[a[t]] * x[b[t]]).sum(axis=1) >= COSINE
+    a, b = a[fine], b[fine]
+    if not len(a):
         return None
+    close[a, b] = close[b, a] = True
     root = _local_components(close)
-    flat = np.concatenate(filters)
-    owner = np.repeat(np.arange(n), [len(f) for f in filters])
-    lower = flat < mine
-    names, at, times = np.unique(flat[lower], return_inverse=True, return_counts=True)
-    if (times > 1).any():
-        m = np.zeros((n, len(names)), np.float32)
-        m[owner[lower], at] = 1.0
-        m = m[:, times > 1]
-        close &= m @ m.T == 0
-    return close @ weight, root
+    # pairs by the kinds of lower filters that their ends are in: few in a tight group
+    kinds, kind = np.unique(np.where(filters < mine, filters, -1), axis=0, return_inverse=True)
+    pair, at = np.unique(kind.ravel()[a] * len(kinds) + kind.ravel()[b], return_inverse=True)
+    first = np.empty(len(pair), bool)
+    for s in range(0, len(pair), 1 << 14):
+        f, g = kinds[pair[s : s + (1 << 14)] // len(kinds)], kinds[pair[s : s + (1 << 14)] % len(kinds)]
+        first[s : s + (1 << 14)] = ~((f[:, :, None] == g[:, None, :]) & (f >= 0)[:, :, None]).any(axis=(1, 2))
+    first = first[at]
+    sums = np.bincount(a[first], weight[b[first]], n) + np.bincount(b[first], weight[a[first]], n)
+    return sums.astype(np.int64), root
+
 
+_KEY = ["label", "f", "i", "j"]
 
-_OUT = pa.schema([("c", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+
+def _dealt(member: DataFrame) -> DataFrame:
+    """Rows (label, f, c, ...) dealt to pairs of blocks (i, j) of their filter; most filters are one block."""
+    hot = member.groupBy("label", "f").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
+    hot = checkpointed(hot.select("label", "f", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")))
+    few = hot.count() <= HOT_BROADCAST
+    split = member.join(F.broadcast(hot) if few else hot, ["label", "f"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    split = split.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = split.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
+    return split.repartition(*_KEY).sortWithinPartitions(*_KEY, "c")
 
 
 def links(classes: DataFrame, size: int, rows: int) -> DataFrame:
     """``classes(c, label, embedding, n)`` -> (c, links, root): partial link sums and forest edges, to be summed up."""
-    spark = classes.sparkSession
-    codes = spark.sparkContext.broadcast(product_codes(size, rows))  # sqrt of the rows, times the size
+    label = dict(classes.dtypes)["label"]
+    shared = classes.sparkSession.sparkContext.broadcast(Filters(size, rows))  # square root of the rows, times the size
 
-    def decode(batches):
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                x = unit(matrix(b.column("embedding"), size))
-                found = np.concatenate([code.decode(x) + k * code.count for k, code in enumerate(codes.value)], axis=1)
-                row = pa.array(np.repeat(np.arange(len(b)), found.shape[1]), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("c").take(row), b.column("label").take(row), pa.array(found.ravel(), pa.int64())], ["c", "label", "f"])
-
-    member = checkpointed(classes.mapInArrow(decode, f"c long, label {dict(classes.dtypes)['label']}, f long"))
-    met = member.groupBy("label", "f").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    member = checkpointed(member.join(met, ["label", "f"]))
-    own = member.groupBy("c").agg(F.collect_list("f").alias("filters"))
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    split = member.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
-    # a filter of several blocks is a key of its own; smaller ones share a batch, since a call costs more than their comparison
-    batches = -(-member.count() // (2 * BLOCK)) or 1
-    batch = F.when(F.col("parts") > 1, F.col("f")).otherwise(-1 - F.pmod(F.xxhash64("label", "f"), F.lit(batches)))
-    pairs = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "c", "label", "f", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-        F.when(F.col("parts") > 1, F.col("label")).alias("hot"), batch.alias("batch"))
-    body = classes.select("c", "n", "embedding").join(own, "c")
-    work = pairs.join(body, "c")
-
-    def verify(key, group):
-        label = pc.rank(group.column("label"), tiebreaker="min").to_numpy()
-        ids, f, part = (group.column(k).to_numpy() for k in ("c", "f", "part"))
-        order = np.lexsort((ids, label, f))
-        ids, f, part, label = ids[order], f[order], part[order], label[order]
-        x, weight = unit(matrix(group.column("embedding"), size))[order], group.column("n").to_numpy()[order].astype(np.int64)
-        lists = group.column("filters").combine_chunks()
-        flat, ends = lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
-        starts = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (label[1:] != label[:-1])])
-        out = []
-        for a, b in zip(starts, np.r_[starts[1:], len(ids)]):
-            if b - a < 2:
-                continue
-            y = x[a:b]
-            if b - a == 2 and y[0] @ y[1] < COSINE - 1e-9:  # most filters
-                continue
-            filters = [flat[ends[r - 1] if r else 0 : ends[r]] for r in order[a:b]]
-            got = _compare(ids[a:b], y, weight[a:b], filters, part[a:b], f[a], key[2].as_py() != key[3].as_py())
-            if got is not None:
-                some = np.flatnonzero((got[0] > 0) | (got[1] != np.arange(b - a)))
-                out.append((ids[a:b][some], got[0][some].astype(np.int64), ids[a:b][got[1]][some]))
-        if not out:
-            return _OUT.empty_table()
-        return pa.table([pa.array(np.concatenate(v)) for v in zip(*out)], schema=_OUT)
-
-    return work.groupBy("hot", "batch", "i", "j").applyInArrow(verify, "c long, links long, root long")
+            for at in range(0, len(b), 1 << 12):
+                own = b.slice(at, 1 << 12)
+                x = unit(matrix(own.column("embedding"), size))
+                found, sketch = shared.value.decode(x), shared.value.sketch(x)
+                row = np.repeat(np.arange(len(own)), found.shape[1])
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("c").take(take), own.column("label").take(take), pa.array(found.ravel(), pa.int64()), pa.array(sketch[row, 0]), pa.array(sketch[row, 1])],
+                    ["c", "label", "f", "s1", "s2"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Who has another one within reach."""
+        reach = shared.value.reach
+        for t, starts, ends in runs(batches, _KEY):
+            s1, s2, part = (t.column(k).to_numpy() for k in ("s1", "s2", "part"))
+            s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # bits of negative numbers would count by absolute value
+            found = np.zeros(len(t), bool)
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                if b - a < 2:
+                    continue
+                u, v, p = s1[a:b], s2[a:b], part[a:b]
+                two = p.min() != p.max()
+                for s in range(0, b - a, 512):
+                    near = np.bitwise_count(u[s : s + 512, None] ^ u) + np.bitwise_count(v[s : s + 512, None] ^ v) <= reach
+                    if two:
+                        near &= p[s : s + 512, None] != p
+                    found[a + s : min(b, a + s + 512)] = near.sum(axis=1) > (0 if two else 1)  # itself is near
+            yield from t.select(["c", "label", "f"]).filter(pa.array(found)).to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts, ends in runs(batches, _KEY):
+            ids, f, part, weight = (t.column(k).to_numpy() for k in ("c", "f", "part", "n"))
+            out = []
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                if b - a < 2:
+                    continue
+                x = unit(matrix(t.column("embedding").slice(a, b - a), size))
+                got = _compare(x, weight[a:b], shared.value.decode(x), part[a:b], int(f[a]))
+                if got is not None:
+                    some = np.flatnonzero((got[0] > 0) | (got[1] != np.arange(b - a)))
+                    out.append((ids[a:b][some], got[0][some], ids[a:b][got[1]][some]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out)], ["c", "links", "root"])
+
+    member = classes.select("c", "label", "embedding").mapInArrow(decode, f"c long, label {label}, f long, s1 long, s2 long")
+    near = checkpointed(_dealt(member).mapInArrow(meet, f"c long, label {label}, f long").distinct())
+    body = near.join(classes.select("c", "n", "embedding"), "c")
+    return _dealt(body).mapInArrow(verify, "c long, links long, root long")
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
     """``rows(vec_id, embedding, label)`` -> (vec_id, n_links, component_id, kept), one row per input row."""
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding"))
     mine = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label", fine.alias("fine"))
-    size = most_common_size(mine.where("fine"))
-    mine = mine.withColumn("fine", F.col("fine") & (F.coalesce(F.size("embedding"), F.lit(0)) == size))
-    alone = mine.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
-    if not size:  # no usable vector
-        return mine.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")).withColumn("kept", kept)
-    used = mine.where("fine")
-    classes = checkpointed(used.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
-                           .select(F.xxhash64("label", "least", "embedding").alias("c"), "label", "embedding", "least", "n"))
-    found = checkpointed(links(classes, size, classes.count()))
+    alone = mine.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    # a class is named by 128 bits of its vector, so that the vectors themselves are shuffled once
+    name = ["label", "h1", "h2"]
+    used = mine.where("fine").withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(SEED), F.reverse("embedding"))})
+    classes = used.groupBy(*name).agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = checkpointed(classes.withColumn("c", F.monotonically_increasing_id()))
+    found = [links(classes.where(F.size("embedding") == size), size, n) for size, n in sizes(classes)]
+    if not found:
+        return alone.withColumn("kept", kept)
+    found = checkpointed(reduce(DataFrame.unionByName, found))
     parts = connected_components(found.select(F.col("c").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "c")
     near = found.groupBy("c").agg(F.sum("links").alias("links"))
-    whole = classes.select("c", "label", "embedding", "least", "n").join(near, "c", "left").join(parts, "c", "left")
+    whole = classes.select("c", *name, "least", "n").join(near, "c", "left").join(parts, "c", "left")
     whole = whole.withColumn("component", F.coalesce("component", "c"))
     least = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    whole = whole.join(least, "component").select(
-        "label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    done = used.join(whole, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    whole = whole.join(least, "component").select(*name, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    done = used.select("vec_id", *name).join(whole, name).select("vec_id", "n_links", "component_id")
     return done.unionByName(alone).withColumn("kept", kept)
 
 

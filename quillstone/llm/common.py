@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,24 @@ def word_count(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Sorted rows as tables of whole runs of equal keys, with the runs' starts and ends; memory holds a batch and one run."""
+    held: list[pa.RecordBatch] = []  # the last run so far
+    for batch in batches:
+        if not len(batch):
+            continue
+        t = pa.Table.from_batches([*held, batch]).combine_chunks()
+        new = np.zeros(len(t), bool)
+        new[0] = True
+        for k in key:
+            c = t.column(k)
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(t) - 1)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        held = t.slice(starts[-1]).to_batches()
+        if len(starts) > 1:
+            yield t.slice(0, starts[-1]), starts[:-1], starts[1:]
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, np.zeros(1, np.int64), np.array([len(t)])

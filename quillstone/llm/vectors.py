@@ -14,10 +14,9 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(embedding.isNotNull() & (F.size(embedding) > 0) & fine & F.exists(embedding, lambda x: x != 0.0), F.lit(False))
 
 
-def most_common_size(rows: DataFrame) -> int:
-    """The number of components that most vectors have (ties: the larger); vectors of another size take no part."""
-    top = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    return top["d"] if top else 0
+def sizes(rows: DataFrame) -> list[tuple[int, int]]:
+    """The vectors' lengths and how many have each (vectors of one model have one length); each length is worked on by itself."""
+    return sorted((r["d"], r["n"]) for r in rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:

@@ -68,20 +68,33 @@ def test_caps_blocks_count_each_pair_once(spark, monkeypatch):
     test_caps_equal_brute_force(spark)
 
 
-@pytest.mark.parametrize("rows", [2_000, 131_100, 500_000])
+@pytest.mark.parametrize("rows", [2_000, 65_000, 66_000, 1_000_000, 30_000_000])  # below and above 65 536 the number of filters is fixed and grows
 def test_caps_lose_no_pair_at_the_threshold(rows):
-    rng = np.random.default_rng(8)
-    x, aside = rng.standard_normal((2, 150, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    aside -= (aside * x).sum(axis=1, keepdims=True) * x
-    y = 0.93 * x + (1 - 0.93**2) ** 0.5 * aside / np.linalg.norm(aside, axis=1, keepdims=True)
-    shared = np.zeros(150, bool)
-    for seed in range(caps.REPEATS):
-        code = caps.Code(64, rows, seed)
-        f, g = code.decode(x), code.decode(y)
-        assert {len(v) for v in [*f, *g]} == {caps.PASSES}  # every vector is in as many filters
-        shared |= [np.intersect1d(a, b).size > 0 for a, b in zip(f, g)]
-    assert shared.all()
+    filters = caps.Filters(64, rows)
+    x, y = caps.pairs_at(0.93, 64, 3000, seed=8)
+    f, g = filters.decode(x), filters.decode(y)
+    assert f.shape[1] == caps.PASSES * len(filters.codes)  # every vector is in as many filters
+    assert (f[:, :, None] == g[:, None, :]).any(axis=(1, 2)).mean() >= 0.999
+    bits = np.bitwise_count(filters.sketch(x).view(np.uint64) ^ filters.sketch(y).view(np.uint64)).sum(axis=1)
+    assert (bits <= filters.reach).all()
+
+
+def test_other_lengths_and_unusable_tables(spark):
+    """Lengths are compared by themselves; tables without a usable vector work; scaled copies tie."""
+    rows = [(1, [1.0, 2.0], 0, "", "", ""), (2, [2.0, 4.0], 0, "", "", ""), (50, [1.0, 2.0, 3.0], 0, "", "", ""), (4, [3.0, 6.0, 9.0], 0, "", "", ""), (100, [4.0, 8.0], 0, "", "", "")]
+    df = spark.createDataFrame(rows, EMB)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in caps.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 100: (2, 1), 50: (1, 4), 4: (1, 4)}
+    found = ann.search(df, df.where("vec_id % 50 = 0")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found) == [(50, 1, 4), (100, 1, 1), (100, 2, 2)]
+    none = spark.createDataFrame([(1, None, 0, "", "", ""), (50, [0.0, 0.0], 0, "", "", ""), (3, [], None, "", "", "")], EMB)
+    assert ann.search(none, none).collect() == []
+    assert sorted((r["vec_id"], r["n_links"], r["kept"]) for r in caps.near_duplicates(none).collect()) == [(1, 0, True), (3, 0, True), (50, 0, True)]
+
+
+def test_ann_large_lists_are_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 16)
+    test_ann_recall_and_exact_scores(spark)
 
 
 @pytest.mark.parametrize("run", [
