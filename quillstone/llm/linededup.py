@@ -1,18 +1,20 @@
 """Line dedup with a log-template tree, DataFrame functions only.
 
 Each line walks a tree of fixed depth: first its token count, then its leading tokens.  Below that, fields are
-generalised: tokens that hold a digit become ``<*>``, and a longer line gives one template for each quarter of
-its body with that quarter generalised, so lines that differ in the fields of one quarter share a template
-(they agree on the leading tokens and three quarters of the rest).  A template that occurs in two or more
-documents recurs: its lines stay in the document with the smallest id and are dropped from all others.
+generalised: tokens that hold a digit become ``<*>``, and the line offers one template for each quarter of its body
+(of a body under four tokens, for each token) with that quarter generalised, at every length alike.  So lines whose
+differences lie in one quarter share a template, and lines of one template agree in three quarters of their tokens.
+Of the templates that occur in two or more documents a line takes one: that of most lines, ties to the first quarter.
+The lines that took a template stay in the document with the smallest id and go from all others, so whatever goes
+leaves a relative that stays.
 
 Templates are 96-bit hashes with a document id; no line text is shuffled to find them, hot templates are
-pre-aggregated to one (min, max) per task, and joining them back is a plain join whose hot keys Spark splits.
+pre-aggregated to one (min, max, count) per task, and joining them back is a plain join whose hot keys Spark splits.
 
-Edge cases: rows of one doc_id, and all rows of null doc_id, count as one document; a null text stays null;
-blank lines and lines under ``min_tokens`` tokens always stay (the pipeline takes
-every line; op1 keeps those under 3, as its SQL does), shorter lines of fields alone are matched as they are; a text that loses no line is returned unchanged,
-otherwise its lines are joined by ``\\n``.  Columns beside doc_id and text pass through.
+Edge cases: rows of one doc_id, and all rows of null doc_id, are one document; a null text stays null; blank lines
+always stay; lines of up to ``DEPTH`` tokens match as a whole, lines of fields alone as they are; a text that loses no
+line is returned unchanged, otherwise its lines are joined by ``\\n``; repeated rows lose the same lines.  Columns
+beside doc_id and text pass through.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WHITE, table
+from .common import NO_ID, WHITE, stored, table
 
 DEPTH = 3
-MIN_TOKENS = 3
+MIN_TOKENS = 1
 QUARTERS = 4
 
 
@@ -49,38 +51,41 @@ def _lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"), "text")
     lines = named.select("d", "h", F.posexplode(_split_lines(F.col("text"))).alias("pos", "line"))
     words = lambda line: F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), WHITE)
-    tokens = words(_masked(F.col("line")))
-    if min_tokens < MIN_TOKENS:  # a short line of fields alone says nothing once generalised: it must recur as it is
-        bare = (F.size(tokens) < MIN_TOKENS) & F.forall(tokens, lambda t: t == "<*>")
-        tokens = F.when(bare, words(F.col("line"))).otherwise(tokens)
-    return _once(lines, "tokens", tokens).where((F.size("tokens") >= min_tokens) & (F.get("tokens", F.lit(0)) != ""))
+    both = _once(lines, "t", F.struct(words(_masked(F.col("line"))).alias("tokens"), words(F.col("line")).alias("own")))
+    bare = F.forall("t.tokens", lambda t: t == "<*>")  # fields alone say nothing once generalised: they must recur as they are
+    tokens = F.when(bare, F.col("t.own")).otherwise(F.col("t.tokens"))
+    return both.select("d", "h", "pos", tokens.alias("tokens")).where((F.size("tokens") >= min_tokens) & (F.get("tokens", F.lit(0)) != ""))
 
 
 def _templates(lines: DataFrame) -> DataFrame:
-    """(d, h, pos, a, b): a row for each template key of each line."""
+    """(d, h, pos, j, a, b): a row for each template of each line, j being its general quarter."""
     tokens, n = F.col("tokens"), F.size("tokens")
     at = [(F.floor(F.greatest(n - DEPTH, F.lit(0)) * j / QUARTERS) + DEPTH).cast("int") for j in range(QUARTERS + 1)]
     parts = [F.slice(tokens, at[j] + 1, at[j + 1] - at[j]) for j in range(QUARTERS)]
     hashed = [F.xxhash64(n, F.slice(tokens, 1, DEPTH)).alias("lead"), n.alias("n")]
     hashed += [f(p).alias(f"{k}{j}") for k, f in (("a", F.xxhash64), ("b", F.hash)) for j, p in enumerate(parts)]
+    hashed += [F.size(p).alias(f"n{j}") for j, p in enumerate(parts)]
     once = _once(lines, "s", F.struct(*hashed))
 
     def key(j: int) -> Column:
         rest = [i for i in range(QUARTERS) if i != j]
         return F.struct(
-            F.xxhash64("s.lead", F.lit(j), *[f"s.a{i}" for i in rest]).alias("a"), F.hash("s.lead", F.lit(j), *[f"s.b{i}" for i in rest]).alias("b"))
+            F.lit(j).alias("j"), F.xxhash64("s.lead", F.lit(j), *[f"s.a{i}" for i in rest]).alias("a"), F.hash("s.lead", F.lit(j), *[f"s.b{i}" for i in rest]).alias("b"))
 
-    quarters = F.array(*[key(j) for j in range(QUARTERS)])
-    keys = F.when(F.col("s.n") - DEPTH >= 2 * QUARTERS, quarters).otherwise(F.array(key(QUARTERS)))
-    return once.select("d", "h", "pos", F.inline(keys).alias("a", "b"))
+    general = [F.when(F.col(f"s.n{j}") > 0, key(j)) for j in range(QUARTERS)]  # an empty quarter generalises nothing
+    whole = F.when(F.col("s.n") <= DEPTH, key(QUARTERS))
+    return once.select("d", "h", "pos", F.inline(F.array_compact(F.array(*general, whole))).alias("j", "a", "b"))
 
 
 def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """(d, h, positions): 0-based lines to drop, by document id and text hash."""
-    keys = _templates(_lines(docs, min_tokens))
-    recur = keys.groupBy("a", "b").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("a", "b", "least")
-    gone = keys.join(recur, ["a", "b"]).where("d > least")
-    return gone.groupBy("d", "h").agg(F.collect_set("pos").alias("positions"))
+    keys = stored(_templates(_lines(docs, min_tokens)), "line-templates")
+    recur = keys.groupBy("a", "b").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("a", "b", "n")
+    offers = keys.join(recur, ["a", "b"])
+    taken = offers.groupBy("d", "h", "pos").agg(F.max(F.struct("n", (-F.col("j")).alias("j"), "a", "b")).alias("t")).select("d", "h", "pos", "t.a", "t.b")
+    least = taken.groupBy("a", "b").agg(F.min("d").alias("least"))
+    gone = taken.join(least, ["a", "b"]).where("d > least")
+    return gone.groupBy("d", "h").agg(F.collect_list("pos").alias("positions"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -96,7 +101,7 @@ def drop_recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataF
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_recurring_lines(table(spark, sf_dir, "documents"))
+    out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), F.md5("text").alias("text_md5"))
 
 
@@ -106,23 +111,30 @@ WITH l AS (
   SELECT coalesce(doc_id, -9223372036854775808) AS d, md5(coalesce(text, 'null')) AS h,
          unnest(range(len(string_split_regex(text, '\r\n|\n|\r')))) AS pos,
          unnest(string_split_regex(text, '\r\n|\n|\r')) AS line
-  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
-m AS (
-  SELECT d, h, pos, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS tk FROM l),
-q AS (SELECT *, len(tk) AS n, 3 + (len(tk) - 3) * 1 // 4 AS p1, 3 + (len(tk) - 3) * 2 // 4 AS p2, 3 + (len(tk) - 3) * 3 // 4 AS p3
-  FROM m WHERE len(tk) >= 3),
-k AS (
-  SELECT d, h, pos, unnest(CASE WHEN n >= 11 THEN [
-    '0 ' || n || ' ' || array_to_string(tk[1:3], ' ') || ' * ' || array_to_string(tk[p1+1:n], ' '),
-    '1 ' || n || ' ' || array_to_string(tk[1:p1], ' ') || ' * ' || array_to_string(tk[p2+1:n], ' '),
-    '2 ' || n || ' ' || array_to_string(tk[1:p2], ' ') || ' * ' || array_to_string(tk[p3+1:n], ' '),
-    '3 ' || n || ' ' || array_to_string(tk[1:p3], ' ') || ' *']
-    ELSE ['4 ' || array_to_string(tk, ' ')] END) AS t FROM q),
-r AS (SELECT t, min(d) AS least FROM k GROUP BY t HAVING min(d) < max(d)),
-g AS (SELECT DISTINCT k.d, k.h, k.pos FROM k JOIN r USING (t) WHERE k.d > r.least),
+  FROM documents WHERE text IS NOT NULL),
+w AS (
+  SELECT d, h, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own,
+         regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS tk FROM l),
+m AS (SELECT d, h, pos, CASE WHEN len(list_filter(tk, lambda t: t <> '<*>')) = 0 THEN own ELSE tk END AS tk FROM w WHERE len(tk) >= 1),
+q AS (SELECT *, len(tk) AS n, 3 + (len(tk) - 3) * 1 // 4 AS p1, 3 + (len(tk) - 3) * 2 // 4 AS p2, 3 + (len(tk) - 3) * 3 // 4 AS p3 FROM m),
+o AS (
+  SELECT d, h, pos, n, unnest(CASE WHEN n > 3 THEN [0, 1, 2, 3] ELSE [4] END) AS j, unnest(CASE WHEN n > 3 THEN [p1 > 3, p2 > p1, p3 > p2, n > p3] ELSE [true] END) AS fine,
+    unnest(CASE WHEN n > 3 THEN [
+    array_to_string(tk[1:3], ' ') || ' * ' || array_to_string(tk[p1+1:n], ' '),
+    array_to_string(tk[1:p1], ' ') || ' * ' || array_to_string(tk[p2+1:n], ' '),
+    array_to_string(tk[1:p2], ' ') || ' * ' || array_to_string(tk[p3+1:n], ' '),
+    array_to_string(tk[1:p3], ' ') || ' *']
+    ELSE [array_to_string(tk, ' ')] END) AS t FROM q),
+k AS (SELECT d, h, pos, j, j || ' ' || n || ' ' || t AS t FROM o WHERE fine),
+r AS (SELECT t, count(*) AS n FROM k GROUP BY t HAVING min(d) < max(d)),
+x1 AS (SELECT k.d, k.h, k.pos, k.t, row_number() OVER (PARTITION BY k.d, k.h, k.pos ORDER BY r.n DESC, k.j) AS nth FROM k JOIN r USING (t)),
+tk1 AS (SELECT * FROM x1 WHERE nth = 1),
+ls AS (SELECT t, min(d) AS least FROM tk1 GROUP BY t),
+g AS (SELECT tk1.d, tk1.h, tk1.pos FROM tk1 JOIN ls USING (t) WHERE tk1.d > ls.least),
 c AS (SELECT d, h, count(*) AS n_dropped FROM g GROUP BY d, h),
-kept AS (SELECT l.d, l.h, string_agg(line, chr(10) ORDER BY l.pos) AS text
-  FROM l LEFT JOIN g ON l.d = g.d AND l.h = g.h AND l.pos = g.pos WHERE g.d IS NULL GROUP BY l.d, l.h)
+u AS (SELECT DISTINCT d, h, pos, line FROM l),
+kept AS (SELECT u.d, u.h, string_agg(line, chr(10) ORDER BY u.pos) AS text
+  FROM u LEFT JOIN g ON u.d = g.d AND u.h = g.h AND u.pos = g.pos WHERE g.d IS NULL GROUP BY u.d, u.h)
 SELECT doc_id, CAST(coalesce(len(string_split_regex(x.text, '\r\n|\n|\r')), 0) AS BIGINT) AS n_lines,
        CAST(coalesce(c.n_dropped, 0) AS BIGINT) AS n_dropped,
        md5(CASE WHEN c.n_dropped IS NULL THEN x.text ELSE coalesce(kept.text, '') END) AS text_md5
