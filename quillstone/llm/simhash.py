@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, checkpointed, table
+from .common import NO_ID, checkpointed, shuffle_partitions, table
 from .graph import connected_components
 
 SEED = 42
@@ -57,7 +57,8 @@ def simhash(text: Column) -> Column:
 def _links(fps: DataFrame) -> DataFrame:
     """``fps(fp)`` distinct -> verified links (u, v) that connect all fingerprints within 2 bits."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)])
-    balls = fps.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    spread = fps.repartition(shuffle_partitions(fps.sparkSession), "fp")  # few bytes that become 65 times as many
+    balls = spread.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
     met = balls.withColumn("least", F.min("fp").over(Window.partitionBy("variant"))).where("fp <> least")
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= 2).select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
