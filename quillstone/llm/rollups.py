@@ -3,8 +3,8 @@
 A ledger holds additive totals (documents, tokens) by source, language and tokenizer version as signed deltas:
 an insert adds a document's count, a delete takes it back, a revision takes the old and adds the new.  Deltas of a
 batch are pre-aggregated to one row per group and committed under the batch's name.  A commit is idempotent: a
-name that is committed is not committed again, and readers see a batch only once its success marker is written, so
-a batch that was lost half-way is simply committed anew.
+name that is committed is not committed again, and readers see a batch only once a manifest names it, so a batch
+that was lost half-way is simply committed anew, and a compaction that was lost half-way changes nothing.
 
 Counts are DataFrame functions.  Edge cases: a null or empty text counts no token but one document; null source or
 language is a group of its own; repeated rows each count; labels that are null or repeat are reduced to one row a
@@ -14,6 +14,7 @@ an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
@@ -51,51 +52,97 @@ def revisions(old: DataFrame, new: DataFrame, tokenizer: str) -> DataFrame:
 
 
 class Ledger:
-    """Committed batches under a folder that all executors share."""
+    """Committed batches under a folder that all executors share.
+
+    Data folders count only if the newest manifest names them.  A manifest (which batches are committed, which
+    folders are live) is written beside its place and renamed into it, under the next number; a writer whose number is
+    taken reads the new manifest and tries again.  So a reader sees a commit or a compaction wholly or not at all,
+    whenever the writer stops.  Between writers this is safe where rename refuses an existing target, as on HDFS."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        jvm = spark._jvm
-        self._root = jvm.org.apache.hadoop.fs.Path(path)
-        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._of = jvm.org.apache.hadoop.fs.Path
-
-    def _folder(self, batch: str) -> str:
-        if not re.fullmatch(r"[\w.-]+", batch):
-            raise ValueError(f"not a batch name: {batch!r}")
-        return f"{self.path}/batch={batch}"
+        self._of = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._of(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _manifest(self) -> tuple[int, dict]:
+        known = [n for n in self._names("manifests") if re.fullmatch(r"\d{9}", n)]
+        if not known:
+            return 0, {"committed": [], "live": []}
+        stream = self._fs.open(self._of(f"{self.path}/manifests/{known[-1]}"))
+        try:
+            return int(known[-1]), json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _publish(self, number: int, manifest: dict) -> bool:
+        """Put the manifest under its number; False if another writer has it."""
+        target, beside = (self._of(f"{self.path}/manifests/{n}") for n in (f"{number:09d}", f".{uuid.uuid4().hex}"))
+        stream = self._fs.create(beside)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        if not self._fs.exists(target) and self._fs.rename(beside, target):
+            return True
+        self._fs.delete(beside, False)
+        return False
+
+    def _write(self, name: str, deltas: DataFrame) -> str:
+        folder = f"{name}-{uuid.uuid4().hex}"  # of its own, so that no writer touches another's
+        deltas.write.parquet(f"{self.path}/data/{folder}")
+        return folder
+
+    def _read(self, live: list[str]) -> DataFrame:
+        if not live:
+            return self.spark.createDataFrame([], _SCHEMA)
+        return aggregated(self.spark.read.schema(_SCHEMA).parquet(*[f"{self.path}/data/{f}" for f in live]))
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._of(f"{self._folder(batch)}/_SUCCESS"))
+        return batch in self._manifest()[1]["committed"]
 
     def batches(self) -> list[str]:
-        if not self._fs.exists(self._root):
-            return []
-        names = [s.getPath().getName().partition("=")[2] for s in self._fs.listStatus(self._root)]
-        return sorted(n for n in names if n and self.committed(n))
+        return sorted(self._manifest()[1]["committed"])
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Add the batch unless it is committed; says whether it was added."""
+        if not re.fullmatch(r"[\w.-]+", batch):
+            raise ValueError(f"not a batch name: {batch!r}")
         if self.committed(batch):
             return False
-        aggregated(deltas).write.mode("overwrite").parquet(self._folder(batch))
-        return True
+        folder = self._write(batch, aggregated(deltas))
+        while True:
+            number, now = self._manifest()
+            if batch in now["committed"]:  # another writer was faster: its deltas count
+                return False
+            if self._publish(number + 1, {"committed": [*now["committed"], batch], "live": [*now["live"], folder]}):
+                return True
 
     def totals(self) -> DataFrame:
         """The rollup: sums of all committed deltas; groups without documents are gone."""
-        found = [self._folder(b) for b in self.batches()]
-        if not found:
-            return self.spark.createDataFrame([], _SCHEMA)
-        return aggregated(self.spark.read.schema(_SCHEMA).parquet(*found)).where("n_docs <> 0")
-
-    def compact(self, into: str) -> None:
-        """Fold all batches but keep their names as empty ones, so that they stay committed."""
-        done = self.batches()
-        sums = checkpointed(self.totals())
-        if not self.commit(into, sums):
-            raise ValueError(f"batch {into!r} is there")
-        for b in done:
-            self.spark.createDataFrame([], _SCHEMA).write.mode("overwrite").parquet(self._folder(b))
+        return self._read(self._manifest()[1]["live"]).where("n_docs <> 0")
+
+    def compact(self) -> None:
+        """Fold the live folders into one; their batches stay committed."""
+        folded = self._manifest()[1]["live"]
+        folder = self._write("compact", self._read(folded))
+        while True:
+            number, now = self._manifest()
+            if not set(folded) <= set(now["live"]):  # another one folded them
+                return
+            live = [folder, *(f for f in now["live"] if f not in folded)]
+            if self._publish(number + 1, {"committed": now["committed"], "live": live}):
+                return
+
+    def vacuum(self) -> None:
+        """Delete what the newest manifest does not name.  For times without readers or writers."""
+        number, now = self._manifest()
+        for folder in set(self._names("data")) - set(now["live"]):
+            self._fs.delete(self._of(f"{self.path}/data/{folder}"), True)
+        for name in self._names("manifests"):
+            if name != f"{number:09d}":
+                self._fs.delete(self._of(f"{self.path}/manifests/{name}"), False)
 
 
 def _stripped(text: Column) -> Column:

@@ -136,17 +136,64 @@ def test_rollups(spark, tmp_path):
     one = spark.createDataFrame([(1, "a b", "s", "en")], docs)
     ledger.commit("2", rollups.revisions(one, one.selectExpr("doc_id", "'a b c' as text", "source", "lang"), "words/1"))
     assert key()[("s", "en")] == (1, 3)
-    (tmp_path / "ledger" / "batch=3").mkdir()  # lost half-way: no marker
+    (tmp_path / "ledger" / "data" / "3-half").mkdir()  # lost half-way: no manifest names it
     assert ledger.batches() == ["1", "2"]
     ledger.commit("3", rollups.deletes(a.where("doc_id = 3"), "words/1"))
     want = {("s", "en"): (1, 3), (None, "en"): (1, 0)}
     assert key() == want
-    ledger.compact("all")
+    ledger.compact()
     assert key() == want and not ledger.commit("2", rollups.inserts(a, "words/1"))
+    ledger.vacuum()
+    assert key() == want and ledger.batches() == ["1", "2", "3"] and len(list((tmp_path / "ledger" / "data").iterdir())) == 1
     with pytest.raises(ValueError):
         ledger.commit("../x", a)
 
 
+def test_stopped_compaction_and_rival_writers_change_no_total(spark, tmp_path, monkeypatch):
+    a = spark.createDataFrame([(1, "a b", "s", "en")], "doc_id long, text string, source string, lang string")
+    ledger, rival = (rollups.Ledger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    for batch in ("1", "2"):
+        ledger.commit(batch, rollups.inserts(a, "words/1"))
+    totals = lambda: [(r["n_docs"], r["n_tokens"]) for r in rival.totals().collect()]
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    for when in ("_write", "_publish"):  # before and after the sums are written
+        with monkeypatch.context() as m:
+            m.setattr(rollups.Ledger, when, stop)
+            with pytest.raises(RuntimeError):
+                ledger.compact()
+        assert totals() == [(2, 4)] and not ledger.commit("1", rollups.inserts(a, "words/1"))
+    publish = rollups.Ledger._publish
+
+    def late(self, number, manifest):  # the rival commits the same batch, and another, just before
+        if self is ledger and not rival.committed("3"):
+            assert rival.commit("3", rollups.inserts(a, "words/1")) and rival.commit("4", rollups.inserts(a, "words/1"))
+        return publish(self, number, manifest)
+
+    monkeypatch.setattr(rollups.Ledger, "_publish", late)
+    assert not ledger.commit("3", rollups.inserts(a, "words/1")) and totals() == [(4, 8)]
+    ledger.compact()
+    assert totals() == [(4, 8)] and rival.batches() == ["1", "2", "3", "4"]
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize("docs, labels, want", [
+    ([], [], []),
+    ([(1, "a, b", "s", "en")], [], [("pieces/1", 1, 3), ("words/1", 1, 2)]),
+    ([(1, "a, b", "s", "en")] * 2, [(1, None, 1), (1, 1, None), (None, 0, 1), (1, 1, 1)], [("pieces/1", 2, 6), ("words/1", 2, 4)]),
+    ([(1, "a", "s", "en"), (None, None, "s", "en")], [(1, 1, 0), (1, 0, 0), (7, 0, 0)], [("pieces/1", 1, 0), ("words/1", 1, 0)]),
+])
+def test_rollup_query_over_odd_tables(spark, tmp_path, docs, labels, want):
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    got = rollups.op5_token_rollups(spark, str(tmp_path)).collect()
+    assert sorted((r["tokenizer"], r["n_docs"], r["n_tokens"]) for r in got) == want
+
+
 CHAT = "pair_id long, turn long, role string, text string, c string"
 
 
