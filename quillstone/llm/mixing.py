@@ -4,7 +4,7 @@ Sizes are words.  Sources, by code point with null last, weigh 1, 2, 3, 1, 2, 3,
 words by weight, no target above three times its source's size, the excess reshared by weight until none is
 above (the closed form of that: targets min(3 size, level * weight) with one common level).  A source's
 documents have equal expected copies, target / source size; ordered by (size, hash, id), their prefix sums plus
-one random offset per source cross an integer once for each copy.  Sorting by size makes the sample follow the
+one random offset per source cross an integer once for each copy.  The hash is of id and text.  Sorting by size makes the sample follow the
 size distribution, so the words taken come near the target.
 
 Ranks come without one task per source: totals by (source, size) give the first rank of each size, counts by
@@ -27,18 +27,16 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix-1"
 #: Rows that are sorted together, about.
-GROUP = 20_000
+GROUP = 2_000
 _KEYS = ["_null", "_source", "_size"]
 
 
-def _hash(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns as a struct, beside the keys; the order's hash takes the text in, so that null or equal ids spread."""
+    name = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
     return docs.select(
-        F.struct("*").alias("row"), F.col("source").isNull().alias("_null"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
-        word_count(F.col("text")).alias("_size"), _hash(F.col("doc_id")).alias("_hash"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").alias("_id"), F.col("source").isNull().alias("_null"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), word_count(F.col("text")).alias("_size"), F.md5(name).alias("_hash"),
     )
 
 
@@ -69,9 +67,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
         F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0).alias("rate"), start.alias("start"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """(row = the document as a struct, size long, source_size long, target double, copies long from 0 to 3)."""
-    rows = _keyed(docs)
+def mix(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(row = the document's kept columns as a struct, size long, source_size long, target double, copies long from 0 to 3).
+
+    Only kept columns are shuffled with the keys: leave the text out where it isn't needed."""
+    rows = _keyed(docs, docs.columns if keep is None else keep)
     sizes = checkpointed(rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n")))  # light: read twice below
     sources = sizes.groupBy("_null", "_source").agg(F.sum(F.col("_size") * F.col("n")).alias("words"))
     most = sizes.agg(F.max("n")).first()[0] or 0
@@ -90,7 +90,7 @@ def mix(docs: DataFrame) -> DataFrame:
     else:
         ranked = ranked.drop("n")
     plan = ranked.join(source_targets(sources), ["_null", "_source"])
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", "row.doc_id")) + F.col("_before")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", "_id")) + F.col("_before")
     out = rows.join(plan, keys).withColumn("_rank", rank.cast("double"))
     crossed = F.floor(F.col("start") + F.col("rate") * F.col("_rank")) - F.floor(F.col("start") + F.col("rate") * (F.col("_rank") - 1.0))
     return out.select("row", F.col("_size").alias("size"), "source_size", "target", crossed.cast("long").alias("copies"))
@@ -103,13 +103,13 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    out = mix(table(spark, sf_dir, "documents"), ["doc_id", "source"])
     return out.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "row.source", "copies")
 
 
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, source, source IS NULL AS nul, coalesce(source, '') AS s,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS h FROM documents),
 src AS (SELECT nul, s, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY nul, s) - 1 AS i FROM d GROUP BY nul, s),
 wt AS (SELECT *, 1 + i % 3 AS w FROM src),
 lv AS (SELECT *, (SELECT sum(words) FROM src) AS total,

@@ -1,5 +1,7 @@
 """Vectors, pages, rollups and chat pairs against brute force."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -211,6 +213,38 @@ def test_chat(spark):
 
 
 def test_swapped_answers(spark):
-    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 2, "user", "bye"), (1, 0, "user", "r"), (1, 1, "assistant", "a1"), (2, 0, "user", "x"), (3, 0, "assistant", "y")]
-    got = chat.last_answer_swapped(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert sorted((r["pair_id"], r["turn"], r["text"]) for r in got) == [(0, 0, "q"), (0, 1, "a1"), (0, 2, "bye"), (1, 0, "r"), (1, 1, "a0")]
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 2, "user", "bye"), (1, 0, "user", "r"), (1, 1, "assistant", None), (2, 0, "user", "x"), (3, 0, "assistant", "a3"), (None, 0, "assistant", "n")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["pair_id"], r["turn"]): r["text"] for r in chat.last_answer_swapped(frame).collect()}
+    ring = sorted((0, 1, 3), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    answer, at = {0: "a0", 1: None, 3: "a3"}, {0: 1, 1: 1, 3: 0}
+    want = {(r[0], r[1]): r[3] for r in rows if r[0] is not None}
+    want |= {(c, at[c]): answer[ring[(i + 1) % 3]] for i, c in enumerate(ring)}
+    assert got == want
+    alone = chat.last_answer_swapped(frame.where("conv_id = 0")).collect()
+    assert sorted(r["text"] for r in alone) == ["a0", "bye", "q"]
+
+
+def test_every_conversation_with_an_answer_finds_another(spark):
+    """Whatever the ids are, here all even and far apart: rings are by hash."""
+    frame = spark.range(2000).selectExpr("id * 1000000 conv_id", "0L turn", "'assistant' role", "cast(id as string) text")
+    got = {r["pair_id"]: r["text"] for r in chat.last_answer_swapped(frame).collect()}
+    assert len(got) == 2000 and sorted(got.values(), key=int) == [str(i) for i in range(2000)]
+    assert all(k != int(v) * 1_000_000 for k, v in got.items())
+
+
+def test_very_long_conversations_and_repeated_turns(spark):
+    import time
+
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(30_000)] + [(2, 0, "user", "x")] * 3
+    c = spark.createDataFrame([(*r, "k") for r in rows], CHAT)
+    r = c.where("pair_id = 2 or turn < 10").repartition(3)
+    began = time.time()
+    got = {x["pair_id"]: x for x in chat.format_preferences(c, r).collect()}
+    assert time.time() - began < 20
+    assert got[1]["n_prefix"] == 10 and got[1]["rejected"] == "" and len(got[1]["chosen_spans"]) == 2 * 29_990
+    at = 0
+    for s in got[1]["chosen_spans"]:
+        assert s["start"] == at
+        at += s["length"]
+    assert at == len(got[1]["chosen"]) and got[2]["prompt"] == "<|user|>\nx<|end|>\n" * 3
