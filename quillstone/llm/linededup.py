@@ -27,6 +27,7 @@ from .common import NO_ID, WHITE, stored, table
 DEPTH = 3
 MIN_TOKENS = 1
 QUARTERS = 4
+_BLANK = " \t\n\x0b\f\r"
 
 
 def _split_lines(text: Column) -> Column:
@@ -50,21 +51,21 @@ def _lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     # hashed below the generator: beside it, the whole text would be hashed again for each of its lines
     named = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"), "text")
     lines = named.select("d", "h", F.posexplode(_split_lines(F.col("text"))).alias("pos", "line"))
-    words = lambda line: F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), WHITE)
-    both = _once(lines, "t", F.struct(words(_masked(F.col("line"))).alias("tokens"), words(F.col("line")).alias("own")))
-    bare = F.forall("t.tokens", lambda t: t == "<*>")  # fields alone say nothing once generalised: they must recur as they are
-    tokens = F.when(bare, F.col("t.own")).otherwise(F.col("t.tokens"))
-    return both.select("d", "h", "pos", tokens.alias("tokens")).where((F.size("tokens") >= min_tokens) & (F.get("tokens", F.lit(0)) != ""))
+    words = lambda line: F.split(F.btrim(line, F.lit(_BLANK)), WHITE)
+    both = lines.select("d", "h", "pos", "line", F.explode(F.array(_masked(F.col("line")))).alias("masked"))  # masked once, not at each use
+    bare = F.btrim(F.replace(F.col("masked"), F.lit("<*>"), F.lit("")), F.lit(_BLANK)) == ""  # fields alone say nothing once generalised: they must recur as they are
+    tokens = words(F.when(bare, F.col("line")).otherwise(F.col("masked")))
+    return _once(both, "tokens", tokens).where((F.size("tokens") >= min_tokens) & (F.get("tokens", F.lit(0)) != ""))
 
 
 def _templates(lines: DataFrame) -> DataFrame:
     """(d, h, pos, j, a, b): a row for each template of each line, j being its general quarter."""
     tokens, n = F.col("tokens"), F.size("tokens")
-    at = [(F.floor(F.greatest(n - DEPTH, F.lit(0)) * j / QUARTERS) + DEPTH).cast("int") for j in range(QUARTERS + 1)]
+    body = F.greatest(n - DEPTH, F.lit(0))
+    at = [F.floor(body * j / QUARTERS).cast("int") + DEPTH for j in range(QUARTERS + 1)]
     parts = [F.slice(tokens, at[j] + 1, at[j + 1] - at[j]) for j in range(QUARTERS)]
-    hashed = [F.xxhash64(n, F.slice(tokens, 1, DEPTH)).alias("lead"), n.alias("n")]
+    hashed = [F.xxhash64(n, F.slice(tokens, 1, DEPTH)).alias("lead"), body.alias("body")]
     hashed += [f(p).alias(f"{k}{j}") for k, f in (("a", F.xxhash64), ("b", F.hash)) for j, p in enumerate(parts)]
-    hashed += [F.size(p).alias(f"n{j}") for j, p in enumerate(parts)]
     once = _once(lines, "s", F.struct(*hashed))
 
     def key(j: int) -> Column:
@@ -72,9 +73,10 @@ def _templates(lines: DataFrame) -> DataFrame:
         return F.struct(
             F.lit(j).alias("j"), F.xxhash64("s.lead", F.lit(j), *[f"s.a{i}" for i in rest]).alias("a"), F.hash("s.lead", F.lit(j), *[f"s.b{i}" for i in rest]).alias("b"))
 
-    general = [F.when(F.col(f"s.n{j}") > 0, key(j)) for j in range(QUARTERS)]  # an empty quarter generalises nothing
-    whole = F.when(F.col("s.n") <= DEPTH, key(QUARTERS))
-    return once.select("d", "h", "pos", F.inline(F.array_compact(F.array(*general, whole))).alias("j", "a", "b"))
+    size = [F.floor(F.col("s.body") * (j + 1) / QUARTERS) > F.floor(F.col("s.body") * j / QUARTERS) for j in range(QUARTERS)]
+    general = [F.when(size[j], key(j)) for j in range(QUARTERS)]  # an empty quarter generalises nothing
+    whole = F.when(F.col("s.body") == 0, key(QUARTERS))
+    return once.select("d", "h", "pos", F.inline(F.array(*general, whole)).alias("j", "a", "b")).where("j is not null")
 
 
 def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
@@ -82,7 +84,8 @@ def recurring_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     keys = stored(_templates(_lines(docs, min_tokens)), "line-templates")
     recur = keys.groupBy("a", "b").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("a", "b", "n")
     offers = keys.join(recur, ["a", "b"])
-    taken = offers.groupBy("d", "h", "pos").agg(F.max(F.struct("n", (-F.col("j")).alias("j"), "a", "b")).alias("t")).select("d", "h", "pos", "t.a", "t.b")
+    taken = offers.groupBy("d", "h", "pos").agg(F.max(F.struct("n", (-F.col("j")).alias("j"), "a", "b")).alias("t"))
+    taken = stored(taken.select("d", "h", "pos", "t.a", "t.b"), "line-template")  # read twice below
     least = taken.groupBy("a", "b").agg(F.min("d").alias("least"))
     gone = taken.join(least, ["a", "b"]).where("d > least")
     return gone.groupBy("d", "h").agg(F.collect_list("pos").alias("positions"))
@@ -115,7 +118,7 @@ WITH l AS (
 w AS (
   SELECT d, h, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own,
          regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D0-9]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS tk FROM l),
-m AS (SELECT d, h, pos, CASE WHEN len(list_filter(tk, lambda t: t <> '<*>')) = 0 THEN own ELSE tk END AS tk FROM w WHERE len(tk) >= 1),
+m AS (SELECT d, h, pos, CASE WHEN trim(replace(array_to_string(tk, ' '), '<*>', '')) = '' THEN own ELSE tk END AS tk FROM w WHERE len(tk) >= 1),
 q AS (SELECT *, len(tk) AS n, 3 + (len(tk) - 3) * 1 // 4 AS p1, 3 + (len(tk) - 3) * 2 // 4 AS p2, 3 + (len(tk) - 3) * 3 // 4 AS p3 FROM m),
 o AS (
   SELECT d, h, pos, n, unnest(CASE WHEN n > 3 THEN [0, 1, 2, 3] ELSE [4] END) AS j, unnest(CASE WHEN n > 3 THEN [p1 > 3, p2 > p1, p3 > p2, n > p3] ELSE [true] END) AS fine,
