@@ -4,11 +4,12 @@ Texts are split into words by the byte-level pattern of the vocabulary.  Tokenis
 ids as tokenising the text, so each word needs encoding once:
 
 1. *Split.*  Each task packs its documents into blocks of bounded text.  A block keeps its sorted distinct words,
-   dealt by hash into parts, and its documents as positions in that word list.
+   dealt by hash into parts (their number follows the input's size), and its documents as positions in that word list.
 2. *Encode.*  A part holds the words of one hash range from all blocks; each distinct word of it is encoded once
    with the tokenizer, and its ids go back to the blocks that asked.
-3. *Join back.*  A block meets the ids of its words; documents are position lookups.  Decoding looks every id up
-   in the id-to-piece table (vocabulary-sized, so bounded) and decodes the joined bytes.
+3. *Join back.*  A block meets the ids of its words, which carry a digest of the words that were encoded: if it is not
+   that of the block's words, because the input changed between two reads, the operator fails.  Decoding joins the
+   words' ids to the id-to-piece table (vocabulary-sized, so bounded) and the words' bytes back by position.
 
 Steps 1 to 3 use two shuffles of packed, compressed rows.  A word is in a part at most once a block, so frequent
 words do not skew; a block is bounded by its text, except that one longer document is a block of its own.
@@ -29,14 +30,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shuffle_partitions, table
 
-#: The vocabulary's split pattern.
+#: Fixed value: the vocabulary's split pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _GENERAL = regex.compile(PATTERN)
 # The same where all characters are ASCII or Latin letters up to U+024F: there classes are short ranges.
@@ -46,6 +49,7 @@ _BEYOND = re.compile(f"[^\x00-\x7f{_L[6:]}]")
 #: Text of a block, in characters.
 BLOCK = 24_000_000
 BLOCK_KEY = 1 << 40
+PART_BYTES = 32_000_000
 
 
 @lru_cache(maxsize=4)
@@ -65,7 +69,7 @@ def specials(path: str) -> tuple[str, ...]:
 
 @lru_cache(maxsize=4)
 def pieces(path: str) -> tuple[bytes, ...]:
-    """id -> bytes.  Byte-level vocabularies write byte b as a printable character: itself, or chr(256 + k) for the k-th other."""
+    """id -> bytes.  Fixed values: byte-level vocabularies write byte b as a printable character: itself, or chr(256 + k) for the k-th other."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
     t, special = tokenizer(path), set(specials(path))
@@ -121,6 +125,10 @@ def _unpack_words(blob: bytes) -> list[bytes]:
     return out
 
 
+def _digest(words: bytes) -> int:
+    return xxhash.xxh64_intdigest(words)
+
+
 _ROWS = "k long, src long, part int, words binary, ids binary, blob binary"
 _ARROW = pa.schema([("k", pa.int64()), ("src", pa.int64()), ("part", pa.int32()), ("words", pa.binary()), ("ids", pa.binary()), ("blob", pa.binary())])
 
@@ -148,11 +156,13 @@ def _splitter(parts: int, special: tuple[str, ...]):
                     at += 1
                 if own:
                     rows.append((p, block, p, _pack_words(own), None, None))
+            digests = np.array([_digest(r[3]) for r in rows], np.uint64)
             has = np.array([d is not None for d in state["ids"]], np.uint8)
             ids = np.array([d or 0 for d in state["ids"]], np.int64)
             sizes = np.array([len(s) for s in state["seqs"]], np.uint32)
             seq = place[np.concatenate(state["seqs"])] if at else np.empty(0, np.uint32)
-            rows.append((BLOCK_KEY + block, block, -1, None, _pack(ids, has, sizes), _pack(seq)))
+            dealt_to = _pack(np.array([r[2] for r in rows], np.int32), digests)
+            rows.append((BLOCK_KEY + block, block, -1, dealt_to, _pack(ids, has, sizes), _pack(seq)))
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
             fresh()
@@ -178,18 +188,18 @@ def _splitter(parts: int, special: tuple[str, ...]):
 
 def _encoder(path: str):
     def run(group: pa.Table) -> pa.Table:
-        asks = [(r["src"], r["part"], _unpack_words(r["words"])) for r in group.select(["src", "part", "words"]).to_pylist() if r["words"] is not None]
-        distinct = list({w for _, _, words in asks for w in words})
+        asks = [(r["src"], r["part"], _digest(r["words"]), _unpack_words(r["words"])) for r in group.select(["src", "part", "words"]).to_pylist() if r["part"] >= 0]
+        distinct = list({w for *_, words in asks for w in words})
         ids: dict[bytes, list[int]] = {}
         for i in range(0, len(distinct), 10_000):
             some = distinct[i : i + 10_000]
             got = tokenizer(path).encode_batch([w.decode() for w in some], add_special_tokens=False)
             ids.update(zip(some, (e.ids for e in got)))
         rows = []
-        for block, part, words in asks:
+        for block, part, digest, words in asks:
             own = [ids[w] for w in words]
             flat = np.array([i for x in own for i in x], np.uint32)
-            rows.append((BLOCK_KEY + block, block, part, None, _pack(np.array([len(x) for x in own], np.uint32), flat), None))
+            rows.append((BLOCK_KEY + block, block, part, _pack(np.array([digest], np.uint64)), _pack(np.array([len(x) for x in own], np.uint32), flat), None))
         cols = list(zip(*rows)) if rows else [[] for _ in _ARROW]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
@@ -204,44 +214,84 @@ def _joiner(path: str, keep_ids: bool):
 
     def run(docs: pa.Table, encoded: pa.Table) -> pa.Table:
         rows = []
-        mine = [r for r in docs.select(["src", "ids", "blob"]).to_pylist() if r["blob"] is not None]
+        mine = [r for r in docs.select(["src", "words", "ids", "blob"]).to_pylist() if r["blob"] is not None]
         if mine:
-            piece = pieces(path)
-            text_of: list[bytes] = []  # of each word: its ids, ready to hash
-            bytes_of: list[bytes] = []  # and the pieces of its ids
-            count: list[int] = []
-            for r in sorted(encoded.select(["part", "ids"]).to_pylist(), key=lambda r: r["part"]):
-                sizes, flat = _unpack(r["ids"])
-                flat, a = flat.tolist(), 0
-                for n in sizes.tolist():
-                    own = flat[a : a + n]
-                    a += n
-                    text_of.append(",".join(map(str, own)).encode())
-                    bytes_of.append(b"".join([piece[i] for i in own]))
-                    count.append(n)
-            count_of = np.array(count, np.int64)
+            given = {r["part"]: (int(_unpack(r["words"])[0][0]), r["ids"]) for r in encoded.select(["part", "words", "ids"]).to_pylist()}
+            word_ids, word_pieces, count_of = _words(path, [given[p][1] for p in sorted(given)])
             for r in mine:
+                parts, digests = _unpack(r["words"]) if r["words"] is not None else ([], [])
+                if dict(zip(parts.tolist(), digests.tolist())) != {p: d for p, (d, _) in given.items()}:
+                    raise RuntimeError("a block's words are not those that were encoded: the input changed between two reads")
                 ids, has, sizes = _unpack(r["ids"])
-                seq, at = _unpack(r["blob"])[0], 0
-                if len(seq) and int(seq.max()) >= len(text_of):
-                    raise RuntimeError("a block's words and ids do not match: the input changed between two reads")
-                for doc_id, known, n in zip(ids.tolist(), has.tolist(), sizes.tolist()):
-                    own = seq[at : at + n].tolist()
-                    at += n
-                    as_text = b",".join(map(text_of.__getitem__, own))
-                    decoded = b"".join(map(bytes_of.__getitem__, own)).decode("utf-8", "replace")
-                    row = (doc_id if known else None, int(count_of[own].sum()) if n else 0, hashlib.sha256(as_text).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    rows.append((*row, [int(i) for i in as_text.split(b",")] if as_text else [], decoded) if keep_ids else row)
+                seq = _unpack(r["blob"])[0]
+                ends = np.cumsum(sizes, dtype=np.int64)
+                for a, b in _spans(sizes):
+                    at = ends[a] - sizes[a]
+                    words = pa.array(seq[at : ends[b - 1]])
+                    offsets = pa.array(np.concatenate(([0], ends[a:b] - at)), pa.int64())
+                    as_text = _joined(word_ids, words, offsets, ",")
+                    as_bytes = _joined(word_pieces, words, offsets, b"")
+                    n = np.concatenate(([0], np.cumsum(count_of[seq[at : ends[b - 1]]], dtype=np.int64)))
+                    tokens = n[ends[a:b] - at] - n[ends[a:b] - at - sizes[a:b]]
+                    for i in range(a, b):
+                        text, raw = as_text[i - a].as_buffer(), as_bytes[i - a].as_buffer()
+                        decoded = None
+                        try:
+                            str(raw, "utf-8")
+                        except UnicodeDecodeError:
+                            decoded = str(raw, "utf-8", "replace")
+                        row = (int(ids[i]) if has[i] else None, int(tokens[i - a]), hashlib.sha256(text).hexdigest(), hashlib.sha256(raw if decoded is None else decoded.encode()).hexdigest())
+                        rows.append((*row, [int(x) for x in str(text, "utf-8").split(",")] if text.size else [], decoded or str(raw, "utf-8", "replace")) if keep_ids else row)
         cols = list(zip(*rows)) if rows else [[] for _ in schema]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
 
 
+def _words(path: str, packed: list[bytes]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Of each word: its ids as text, its pieces as bytes (ids joined to the id-to-piece table), the number of ids."""
+    both = [_unpack(p) for p in packed]
+    sizes = np.concatenate([np.empty(0, np.uint32), *(b[0] for b in both)])
+    ids = pa.array(np.concatenate([np.empty(0, np.uint32), *(b[1] for b in both)]))
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int64())
+    table = piece_table(path)
+    return _joined(table.column("digits").chunk(0), ids, offsets, ","), _joined(table.column("piece").chunk(0), ids, offsets, b""), sizes.astype(np.int64)
+
+
+def _joined(values: pa.Array, at: pa.Array, offsets: pa.Array, by: str | bytes) -> pa.Array:
+    """The values at positions ``at``, concatenated list by list."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, values.take(at)), pa.scalar(by, values.type))
+
+
+def _spans(sizes: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about that many words at most."""
+    a = total = 0
+    for b, n in enumerate(sizes.tolist()):
+        if b > a and total + n > most:
+            yield a, b
+            a, total = b, 0
+        total += n
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
+@lru_cache(maxsize=4)
+def piece_table(path: str) -> pa.Table:
+    """(digits, piece) by id: the id as text and the bytes that it stands for."""
+    found = pieces(path)
+    return pa.table({"digits": pa.array([str(i) for i in range(len(found))], pa.large_string()), "piece": pa.array(found, pa.large_binary())})
+
+
+def parts_for(docs: DataFrame) -> int:
+    """Hash ranges of the word table: one for each PART_BYTES of input by the optimizer's estimate, as many as shuffle partitions at least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 50 else 0  # no estimate: a huge number
+    return max(shuffle_partitions(docs.sparkSession), -(-known // PART_BYTES))
+
+
 def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> (doc_id, n_tokens, ids_sha256, decoded_sha256), with keep_ids also ids and decoded."""
-    spark = docs.sparkSession
-    split = docs.select("doc_id", "text").mapInArrow(_splitter(shuffle_partitions(spark), specials(path)), _ROWS)
+    split = docs.select("doc_id", "text").mapInArrow(_splitter(parts_for(docs), specials(path)), _ROWS)
     encoded = split.groupBy("k").applyInArrow(_encoder(path), _ROWS)
     result = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
     return split.groupBy("k").cogroup(encoded.groupBy("k")).applyInArrow(_joiner(path, keep_ids), result)

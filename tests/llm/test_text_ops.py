@@ -237,6 +237,28 @@ def test_bpe_many_blocks_and_ids(spark, monkeypatch):
     assert all(r["decoded"] == text[r["doc_id"]] and len(r["ids"]) == r["n_tokens"] for r in got) and len(got) == 60
 
 
+def test_bpe_odd_rows(spark):
+    """Null ids beside given ones, ids kept, other columns of clashing names."""
+    rows = spark.createDataFrame([(None, "a b"), (None, None), (3, "a b"), (3, "a b")], "doc_id long, text string").selectExpr("*", "'x' as ids", "1 as k", "'y' as blob", "2 as n_tokens")
+    got = sorted(((r["doc_id"], r["n_tokens"], r["ids"], r["decoded"]) for r in bpe.encode_decode(rows, bpe.default_vocabulary(), keep_ids=True).collect()), key=str)
+    ids = bpe.tokenizer(bpe.default_vocabulary()).encode("a b", add_special_tokens=False).ids
+    assert got == sorted([(None, 2, ids, "a b"), (None, 0, [], ""), (3, 2, ids, "a b"), (3, 2, ids, "a b")], key=str)
+
+
+def test_bpe_fails_if_the_words_are_others(spark):
+    """Another read gave as many words, but not the same ones."""
+    import pyarrow as pa
+
+    batch = lambda text: pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    one, two = (pa.Table.from_batches(list(bpe._splitter(1, ())(iter([batch(t)])))) for t in ("some words here", "some words there"))
+    path = bpe.default_vocabulary()
+    words = lambda t: t.filter(pa.compute.equal(t["part"], 0))
+    docs = one.filter(pa.compute.equal(one["part"], -1))
+    assert bpe._joiner(path, False)(docs, bpe._encoder(path)(words(one))).num_rows == 1
+    with pytest.raises(RuntimeError):
+        bpe._joiner(path, False)(docs, bpe._encoder(path)(words(two)))
+
+
 def test_split_equals_general_pattern():
     chars = "ab'sZé9 \t\n\r.,!ß½ 中\x1c_"
     for _ in range(3000):
