@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that count as control flow, comment openers, and reserved words of Java-like code.
-CONTROL = "if else for while case catch throw return break continue switch && || ? : { }".split()
-COMMENT_PREFIXES = ("//", "/*", "* ", "*/", "# ")
+# Control-flow tokens, brackets, comment openers.
+CONTROL = ["if", "else", "while", "case", "for", "switch", "do", "continue", "break", "&&", "||", "?", ":", "catch", "finally", "throw", "throws", "default", "return"]
+BRACKETS = ["(", "{", "[", ")", "}", "]"]
+COMMENT_PREFIXES = ("//", "* ", "/*")
+# Fixed value: the keys column by column, three rows each.
+KEYBOARD = ".LO,KIMJUNHYBGTVFRCDEXSWZAQ"
+# Reserved words of Java-like code.
 RESERVED = "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while".split()
 
 
@@ -47,13 +51,19 @@ def nontrivial_statement(text: Column, depth: int = 2) -> Column:
 
 
 def approx_cyclomatic(text: Column) -> Column:
-    """Number of control tokens."""
-    return F.size(F.filter(word_pieces(text), lambda t: t.isin(*CONTROL))).cast("long")
+    """Number of control-flow tokens and brackets among words and single other characters."""
+    return F.size(F.filter(word_pieces(text), lambda t: t.isin(*CONTROL, *BRACKETS))).cast("long")
 
 
-def is_comment_or_empty(line: Column) -> Column:
+def is_comment_or_empty(line: Column, prefixes: tuple[str, ...] = COMMENT_PREFIXES) -> Column:
+    """At most one character, or one of the two-character prefixes, after trimming."""
     t = F.trim(line)
-    return (F.length(t) <= 1) | F.substring(t, 1, 2).isin(*COMMENT_PREFIXES)
+    return (F.length(t) <= 1) | F.substring(t, 1, 2).isin(*prefixes)
+
+
+def matches_whole(line: Column, pattern: str) -> Column:
+    """The pattern matches all of the line."""
+    return line.rlike(rf"\A(?:{pattern})\z")
 
 
 def visible_chars(text: Column) -> Column:
@@ -96,9 +106,18 @@ def identifiers(text: Column) -> Column:
     return F.filter(words(text), lambda t: (F.length(t) > 1) & ~t.rlike("^[0-9]") & ~t.isin(*RESERVED))
 
 
-def license_class(text: Column) -> Column:
-    return (F.when(F.contains(text, F.lit("Apache License")), "Apache").when(F.contains(text, F.lit("GNU General Public License")), "GPL")
-            .when(F.contains(text, F.lit("MIT License")), "MIT").when(F.contains(text, F.lit("icensed under")) | F.contains(text, F.lit("rights reserved")), "Custom").otherwise("?"))
+# Licence marks in order of precedence.
+LICENSES = (("Apache ", "Apache"), ("GPL ", "GPL"), ("MIT license", "MIT"), ("Copyright (", "Custom"))
+#: Marks of licence lines in prose corpora.
+CORPUS_LICENSES = (("Apache License", "Apache"), ("GNU General Public License", "GPL"), ("MIT License", "MIT"), ("icensed under", "Custom"), ("rights reserved", "Custom"))
+
+
+def license_class(text: Column, marks: tuple[tuple[str, str], ...] = LICENSES) -> Column:
+    """The class of the first mark that the text holds, ``?`` without one."""
+    out = F.lit("?")
+    for mark, name in reversed(marks):
+        out = F.when(F.contains(text, F.lit(mark)), F.lit(name)).otherwise(out)
+    return out
 
 
 def camel_tokens(text: Column) -> Column:
@@ -106,16 +125,16 @@ def camel_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?s)[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[ \t\n\r]+|."), 0)
 
 
-def normal_form(tokens: Column, names: Column) -> Column:
-    """Tokens renamed to their first position among names, joined by dots."""
-    return F.array_join(F.transform(tokens, lambda t: F.array_position(names, t).cast("string")), ".")
+def normal_form(tokens: Column, names: Column, joiner: str = "") -> Column:
+    """Tokens renamed to their first position among names, from 0; without a joiner, as the metric has it, 1 2 and 12 look alike."""
+    return F.array_join(F.transform(tokens, lambda t: (F.array_position(names, t) - 1).cast("string")), joiner)
 
 
-def normal_form_distance(a: Column, b: Column) -> Column:
+def normal_form_distance(a: Column, b: Column, joiner: str = "") -> Column:
     """Levenshtein distance of the two texts after renaming tokens to shared first-occurrence numbers."""
     x, y = camel_tokens(a), camel_tokens(b)
     names = F.array_distinct(F.concat(x, y))
-    return F.levenshtein(normal_form(x, names), normal_form(y, names))
+    return F.levenshtein(normal_form(x, names, joiner), normal_form(y, names, joiner))
 
 
 def rouge_recall(reference: Column, candidate: Column) -> Column:
@@ -123,10 +142,10 @@ def rouge_recall(reference: Column, candidate: Column) -> Column:
     return F.size(F.array_intersect(reference, candidate)) / F.greatest(F.size(F.array_distinct(reference)), F.lit(1))
 
 
-def keyboard_distance(a: Column, b: Column, layout: str = ".LO,KIMJUNHYBGTVFRCDEXSWZAQ") -> Column:
-    """Distance of two keys given column by column, three rows each, 4.76 units apart."""
-    at = lambda c: F.instr(F.lit(layout), F.upper(c)) - 1
-    dx, dy = F.floor(at(a) / 3) - F.floor(at(b) / 3), at(a) % 3 - at(b) % 3
+def keyboard_distance(a: Column, b: Column, layout: str = KEYBOARD) -> Column:
+    """Distance of two keys by their places in the layout: 4 units a row, two thirds of a unit a place, times 4.76."""
+    at = lambda c: F.instr(F.lit(layout), c) - 1
+    dx, dy = (at(a) % 3 - at(b) % 3) * 4.0, (at(a) - at(b)) * (2.0 / 3.0)
     return F.sqrt(dx * dx + dy * dy) * 4.76
 
 
@@ -145,8 +164,11 @@ def l1_normalised(v: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Consecutive n-token strings, space-joined; none if there are fewer tokens."""
-    heads = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-    return F.transform(heads, lambda t, i: F.concat_ws(" ", t, *[F.get(tokens, i + k) for k in range(1, n)]))
+    size = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    grams = F.slice(tokens, F.lit(1), size)
+    for k in range(1, n):  # shifted copies zipped, not looked up one by one
+        grams = F.zip_with(grams, F.slice(tokens, F.lit(k + 1), size), lambda a, b: F.concat(a, F.lit(" "), b))
+    return grams
 
 
 def overlapping_chunks(tokens: Column, width: int = 760, hop: int = 380) -> Column:

@@ -22,7 +22,12 @@ def line_stats_by_source(spark, sf):
 
 
 def license_classes(spark, sf):
-    return _docs(spark, sf).groupBy(X.license_class(F.col("text")).alias("license")).agg(F.count(F.lit(1)).alias("n"))
+    return _docs(spark, sf).groupBy(X.license_class(F.col("text"), X.CORPUS_LICENSES).alias("license")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def license_cascade(spark, sf):
+    """Pages by the first licence mark in their source."""
+    return table(spark, sf, "pages").groupBy(X.license_class(F.col("html")).alias("license")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def token_freq(spark, sf):
@@ -50,11 +55,20 @@ def bin10_counts(spark, sf):
 
 
 def rouge_recall(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(X.words(F.lower("text"))).alias("w"))
-    d = _docs(spark, sf).select("doc_id", F.explode(F.array_distinct(X.words(F.lower("text")))).alias("token"))
-    shared = d.join(b.select("item_id", F.explode("w").alias("token")), "token").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
-    full = shared.join(b.select("item_id", F.size("w").alias("size")), "item_id").withColumn("recall", F.round(F.col("n") / F.col("size"), 6))
-    return stats.take_per_group(full.select("item_id", "doc_id", "recall"), ["item_id"], 3, F.desc("recall"), F.asc("doc_id"))
+    """The three documents of highest recall of each item's words, at half of them or more.
+
+    A document with half of an item's n words holds one of the item's n - ceil(n / 2) + 1 rarest (prefix filter), so only
+    those make candidates, and only candidates are compared in full."""
+    b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(X.words(F.lower("text"))).alias("w")).where(F.size("w") > 0)
+    d = _docs(spark, sf).select("doc_id", F.array_distinct(X.words(F.lower("text"))).alias("dw"))
+    item = b.select("item_id", F.size("w").alias("size"), F.explode("w").alias("token"))
+    each = d.select("doc_id", F.explode("dw").alias("token")).join(item.select("token").distinct(), "token", "left_semi")
+    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    nth = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "token"))
+    rare = item.join(seen, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("nth", nth).where(F.col("nth") <= F.col("size") - F.ceil(F.col("size") / 2) + 1)
+    able = each.join(rare.select("token", "item_id"), "token").select("doc_id", "item_id").distinct()
+    full = able.join(d, "doc_id").join(b, "item_id").select("item_id", "doc_id", F.round(F.size(F.array_intersect("w", "dw")) / F.size("w"), 6).alias("recall"))
+    return stats.take_per_group(full.where("recall >= 0.5"), ["item_id"], 3, F.desc("recall"), F.asc("doc_id"))
 
 
 def bracket_balance(spark, sf):
@@ -143,7 +157,7 @@ def cooccurrence_probability(spark, sf):
 def mask_identifiers(spark, sf):
     """A masked variant for each identifier that occurs at least twice."""
     c = table(spark, sf, "benchmark").select("item_id", "text", F.explode(F.array_distinct(X.identifiers(F.col("text")))).alias("id"))
-    return c.where(X.count_of(F.col("text"), "x") >= 0).withColumn("n", F.size(F.split("text", F.concat(F.lit("\\Q"), F.col("id"), F.lit("\\E")), -1)) - 1).where("n >= 2").select(
+    return c.withColumn("n", F.size(F.split("text", F.concat(F.lit("\\Q"), F.col("id"), F.lit("\\E")), -1)) - 1).where("n >= 2").select(
         "item_id", "id", F.col("n").cast("long"), F.md5(F.replace("text", F.col("id"), F.lit("<mask>"))).alias("masked_md5"))
 
 
@@ -167,7 +181,7 @@ def url_mining(spark, sf):
 
 
 def dedupe_repos(spark, sf):
-    """URLs without scheme, query and fragment, first page of each; those under one host that others copy are left out."""
+    """URLs without scheme, host prefix, query and fragment: first page of each and how many there are."""
     p = table(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^https?://(www\\.|m\\.|blog\\.)?", ""), "[?#].*$", "").alias("key"))
     return p.groupBy("key").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
 
@@ -213,33 +227,34 @@ def ranking_by_label(spark, sf):
 
 _W = r"regexp_extract_all(%s, '\w+')"
 _LIC = "CASE WHEN contains(text, 'Apache License') THEN 'Apache' WHEN contains(text, 'GNU General Public License') THEN 'GPL' WHEN contains(text, 'MIT License') THEN 'MIT' WHEN contains(text, 'icensed under') OR contains(text, 'rights reserved') THEN 'Custom' ELSE '?' END"
-_EMPTY = "(length(trim(x)) <= 1 OR substr(trim(x), 1, 2) IN ('//', '/*', '* ', '*/', '# '))"
+_EMPTY = "(length(trim(x)) <= 1 OR substr(trim(x), 1, 2) IN ('//', '* ', '/*'))"
 _RES = ", ".join(f"'{w}'" for w in X.RESERVED)
 _IDS = rf"list_filter(regexp_extract_all(text, '\w+'), lambda t: length(t) > 1 AND NOT regexp_matches(t, '^[0-9]') AND t NOT IN ({_RES}))"
 _GRAM2 = r"SELECT %s, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT *, regexp_extract_all(%s, '\w+') AS w FROM %s)"
 _BAL = " + ".join(f"(length(html) - length(replace(html, '{o}', ''))) - (length(html) - length(replace(html, '{c}', '')))" for o, c in ("()", "[]", "{}"))
 
 QUERIES = {f.__name__: f for f in (
-    line_stats_by_source, license_classes, token_freq, bigram_freq, length_cdf, length_buckets, bin10_counts, rouge_recall, bracket_balance, approx_cyclomatic, comment_lines,
+    line_stats_by_source, license_classes, license_cascade, token_freq, bigram_freq, length_cdf, length_buckets, bin10_counts, rouge_recall, bracket_balance, approx_cyclomatic, comment_lines,
     visible_text, normal_form_distance, sct_swap_plus_minus, sct_rename, sct_factorial_pivot, ttest_paired, stratified_split, rebalance_min_class, ngram_counts_merge, ngram_score,
     cooccurrence_probability, mask_identifiers, distractors, href_extract, url_mining, dedupe_repos, vocabulary, sentence_pairs, vec_mean_by_label, vec_l1_normalize, dim_corr, ranking_by_label)}
 ORACLE_SQL = {
     "line_stats_by_source": f"SELECT source, count(*) AS files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, CAST(sum(len(list_filter(string_split(text, chr(10)), lambda x: NOT {_EMPTY}))) AS BIGINT) AS holes, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY source",
     "license_classes": f"SELECT {_LIC} AS license, count(*) AS n FROM documents GROUP BY 1",
+    "license_cascade": "SELECT CASE WHEN contains(html, 'Apache ') THEN 'Apache' WHEN contains(html, 'GPL ') THEN 'GPL' WHEN contains(html, 'MIT license') THEN 'MIT' WHEN contains(html, 'Copyright (') THEN 'Custom' ELSE '?' END AS license, count(*) AS n FROM pages GROUP BY 1",
     "token_freq": f"WITH t AS (SELECT unnest({_W % 'text'}) AS token FROM documents), c AS (SELECT token, count(*) AS n FROM t GROUP BY token) SELECT token, n, round(n / sum(n) OVER (), 4) AS freq FROM c ORDER BY n DESC, token LIMIT 200",
     "bigram_freq": f"WITH t AS ({_GRAM2 % ('doc_id', 'text', 'documents')}), c AS (SELECT gram, count(*) AS n FROM t GROUP BY gram) SELECT gram, n, round(n / sum(n) OVER (), 6) AS freq FROM c ORDER BY n DESC, gram LIMIT 100",
     "length_cdf": f"WITH c AS (SELECT len({_W % 'text'}) // 10 * 10 AS bucket, count(*) AS n FROM documents GROUP BY 1) SELECT bucket, n, round(sum(n) OVER (ORDER BY bucket) / sum(n) OVER (), 6) AS cdf FROM c",
     "length_buckets": f"WITH c AS (SELECT least(len({_W % 'text'}) // 10 * 10, 100) AS bucket, count(*) AS n FROM documents GROUP BY 1) SELECT bucket, n, round(sum(n) OVER (ORDER BY bucket) / sum(n) OVER (), 6) AS cdf FROM c",
     "bin10_counts": f"SELECT (len({_W % 'text'}) + 1) // 10 * 10 AS bin, count(*) AS n FROM documents GROUP BY 1",
-    "rouge_recall": f"WITH b AS (SELECT item_id, list_distinct({_W % 'lower(text)'}) AS w FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct({_W % 'lower(text)'})) AS token FROM documents), u AS (SELECT item_id, unnest(w) AS token FROM b), s AS (SELECT doc_id, item_id, count(*) AS n FROM d JOIN u USING (token) GROUP BY ALL), f AS (SELECT item_id, doc_id, round(n / len(w)::DOUBLE, 6) AS recall FROM s JOIN b USING (item_id)) SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY recall DESC, doc_id) <= 3",
+    "rouge_recall": f"WITH b AS (SELECT item_id, list_distinct({_W % 'lower(text)'}) AS w FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct({_W % 'lower(text)'})) AS token FROM documents), u AS (SELECT item_id, unnest(w) AS token FROM b), s AS (SELECT doc_id, item_id, count(*) AS n FROM d JOIN u USING (token) GROUP BY ALL), f AS (SELECT item_id, doc_id, round(n / len(w)::DOUBLE, 6) AS recall FROM s JOIN b USING (item_id)) SELECT * FROM f WHERE recall >= 0.5 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY recall DESC, doc_id) <= 3",
     "bracket_balance": f"SELECT page_id, CAST({_BAL} AS BIGINT) AS balance, CAST(length(html) - length(replace(html, '<', '')) AS BIGINT) AS tags FROM pages",
-    "approx_cyclomatic": "SELECT page_id, len(list_filter(regexp_extract_all(html, '(?s)\\w+|\\W'), lambda t: t IN (" + ", ".join(f"'{w}'" for w in X.CONTROL) + "))) AS complexity FROM pages",
+    "approx_cyclomatic": "SELECT page_id, len(list_filter(regexp_extract_all(html, '(?s)\\w+|\\W'), lambda t: t IN (" + ", ".join(f"'{w}'" for w in X.CONTROL + X.BRACKETS) + "))) AS complexity FROM pages",
     "comment_lines": f"SELECT conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda x: {_EMPTY})) AS n FROM conversations",
     "visible_text": "SELECT item_id, md5(regexp_replace(text, '[^!-~]', '', 'g')) AS visible_md5 FROM benchmark",
     "normal_form_distance": r"""WITH c AS (SELECT item_id, regexp_extract_all(text, '(?s)[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[ \t\n\r]+|.') AS t FROM benchmark),
         p AS (SELECT a.item_id, a.t AS x, b.t AS y, a.t || b.t AS z FROM c a JOIN c b ON b.item_id - 1 = a.item_id),
         n AS (SELECT *, list_filter(z, lambda t, i: list_position(z, t) = i) AS names FROM p)
-        SELECT item_id, levenshtein(array_to_string(list_transform(x, lambda t: list_position(names, t)), '.'), array_to_string(list_transform(y, lambda t: list_position(names, t)), '.')) AS dist FROM n""",
+        SELECT item_id, levenshtein(array_to_string(list_transform(x, lambda t: list_position(names, t) - 1), ''), array_to_string(list_transform(y, lambda t: list_position(names, t) - 1), '')) AS dist FROM n""",
     "sct_swap_plus_minus": "SELECT doc_id, md5(replace(text, '+', '-')) AS variant_md5 FROM documents WHERE contains(text, '+')",
     "sct_rename": rf"WITH t AS (SELECT conv_id, turn, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (SELECT *, regexp_extract_all(text, '\w+') AS w FROM conversations)), c AS (SELECT conv_id, turn, token, count(*) AS n, min(pos) AS first FROM t WHERE regexp_matches(token, '^[a-z]') AND length(token) > 4 AND token NOT IN ({_RES}) GROUP BY ALL), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, first) = 1) SELECT conv_id, turn, token, n, md5(replace(text, token, 'renamed')) AS variant_md5 FROM conversations JOIN m USING (conv_id, turn)",
     "sct_factorial_pivot": "SELECT source, round(avg(CAST(lower(text) <> text AS DOUBLE)), 6) AS lower, round(avg(CAST(contains(text, '+') AS DOUBLE)), 6) AS swap, round(avg(CAST(regexp_replace(text, '[^!-~]', '', 'g') <> text AS DOUBLE)), 6) AS visible FROM documents GROUP BY source",

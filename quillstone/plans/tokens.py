@@ -61,7 +61,7 @@ def grep_offsets(spark, sf):
 
 
 def complexity_bins(spark, sf):
-    return table(spark, sf, "pages").groupBy(F.round(X.approx_cyclomatic(F.col("html")) / 5).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "pages").groupBy(F.bround(X.approx_cyclomatic(F.col("html")) / 5).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pretty_columns(spark, sf):
@@ -110,7 +110,7 @@ _KIND = f"""CASE WHEN substr(t, 1, 2) IN ('//', '/*') THEN 'comment' WHEN substr
   WHEN t IN ({", ".join(f"'{w}'" for w in X.RESERVED)}) THEN 'keyword' WHEN regexp_matches(t, '^[A-Za-z_$]') THEN 'name' WHEN regexp_matches(t, '^[ \\t\\r\\n]') THEN 'space' ELSE 'operator' END"""
 _LEX = L.LEXEME.replace("'", "''")
 _KEY = f"(instr('.LO,KIMJUNHYBGTVFRCDEXSWZAQ', substr(p, %d, 1)) - 1)"
-_DX, _DY = (f"({e % (_KEY % 1)} - {e % (_KEY % 2)})" for e in ("floor(%s / 3)", "(%s %% 3)"))
+_DX, _DY = (f"({e % (_KEY % 1)} - {e % (_KEY % 2)})" for e in ("(%s %% 3) * 4.0::DOUBLE", "%s * (2.0::DOUBLE / 3.0::DOUBLE)"))
 
 QUERIES = {f.__name__: f for f in (
     lexeme_kinds, coarse_patterns, token_chunks, growing_prefixes, position_histogram, keyboard_travel, grep_offsets, complexity_bins, pretty_columns, vocabulary_ids, knn_rerank, markov_walks, pair_swap)}
@@ -131,7 +131,7 @@ ORACLE_SQL = {
     "grep_offsets": r"""WITH s AS (SELECT doc_id, string_split_regex(text, '[0-9]+') AS g, regexp_extract_all(text, '[0-9]+') AS h FROM documents WHERE regexp_matches(text, '[0-9]')),
         z AS (SELECT doc_id, unnest(range(len(h))) AS i, unnest(h) AS hit, unnest(list_transform(g[1:len(h)], lambda x: length(x))) AS gap FROM s)
         SELECT doc_id, CAST(coalesce(sum(gap + length(hit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gap AS BIGINT) AS at, hit FROM z""",
-    "complexity_bins": "SELECT CAST(round(len(list_filter(regexp_extract_all(html, '(?s)\\w+|\\W'), lambda t: t IN (" + ", ".join(f"'{w}'" for w in X.CONTROL) + "))) / 5) AS BIGINT) AS bin, count(*) AS n FROM pages GROUP BY 1",
+    "complexity_bins": "SELECT CAST(round_even(len(list_filter(regexp_extract_all(html, '(?s)\\w+|\\W'), lambda t: t IN (" + ", ".join(f"'{w}'" for w in X.CONTROL + X.BRACKETS) + "))) / 5, 0) AS BIGINT) AS bin, count(*) AS n FROM pages GROUP BY 1",
     "pretty_columns": "SELECT s_suppkey, rpad(s_name, CAST(max(length(s_name)) OVER () AS INTEGER), ' ') || ', ' || rpad(CAST(s_nationkey AS VARCHAR), CAST(max(length(CAST(s_nationkey AS VARCHAR))) OVER () AS INTEGER), ' ') AS line FROM supplier",
     "vocabulary_ids": r"""WITH t AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\w+')) AS token FROM documents) GROUP BY ALL),
         v AS (SELECT token, sum(n) AS total FROM t GROUP BY token ORDER BY total DESC, token LIMIT 500)
