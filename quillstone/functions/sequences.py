@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,28 +16,88 @@ def lcs_length(a, b) -> int:
     return row[-1]
 
 
+def edit_distance(a, b, limit: int | None = None) -> int | None:
+    """Unit-cost edit distance with one row of costs; with a limit only the band around the diagonal, None beyond it."""
+    if len(a) < len(b):
+        a, b = b, a
+    band = len(a) if limit is None else limit
+    if len(a) - len(b) > band:
+        return None
+    far = len(a) + len(b) + 1
+    row = [j if j <= band else far for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        lo, hi = max(1, i - band), min(len(b), i + band)
+        diagonal, row[lo - 1] = row[lo - 1], i if lo == 1 and i <= band else far
+        for j in range(lo, hi + 1):
+            above = row[j] if j <= i - 1 + band else far
+            diagonal, row[j] = row[j], min(above + 1, row[j - 1] + 1, diagonal + (x != b[j - 1]))
+        if hi < len(b):
+            row[hi + 1] = far
+    return row[-1] if limit is None or row[-1] <= limit else None
+
+
 def alignment(a: list[str], b: list[str]) -> list[tuple[str, int, str, str]]:
-    """Minimal unit-cost edits that turn a into b: (INS | DEL | SUB, position in a, old, new)."""
-    n, m = len(a), len(b)
-    cost = [[0] * (m + 1) for _ in range(n + 1)]
+    """Minimal unit-cost edits that turn a into b: (INS | DEL | SUB, position in a, old, new).
+
+    Equal ends are set aside; costs are kept only within the band of the true distance, found by doubling, so long
+    texts with few edits take little memory."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    band = max(1, abs(len(x) - len(y)))
+    while (d := edit_distance(x, y, band)) is None:
+        band *= 2
+    n, m = len(x), len(y)
+    far = n + m + 1
+    cost: list[dict[int, int]] = []
     for i in range(n + 1):
-        for j in range(m + 1):
-            cost[i][j] = i + j if not i or not j else min(cost[i - 1][j] + 1, cost[i][j - 1] + 1, cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        row: dict[int, int] = {}
+        for j in range(max(0, i - d), min(m, i + d) + 1):
+            if not i or not j:
+                row[j] = i + j
+            else:
+                row[j] = min(cost[i - 1].get(j, far) + 1, row.get(j - 1, far) + 1, cost[i - 1].get(j - 1, far) + (x[i - 1] != y[j - 1]))
+        cost.append(row)
     out, i, j = [], n, m
     while i or j:
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+        if i and j and cost[i][j] == cost[i - 1].get(j - 1, far) + (x[i - 1] != y[j - 1]):
             i, j = i - 1, j - 1
-            if a[i] != b[j]:
-                out.append(("SUB", i, a[i], b[j]))
-        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            if x[i] != y[j]:
+                out.append(("SUB", head + i, x[i], y[j]))
+        elif i and cost[i][j] == cost[i - 1].get(j, far) + 1:
             i -= 1
-            out.append(("DEL", i, a[i], ""))
+            out.append(("DEL", head + i, x[i], ""))
         else:
             j -= 1
-            out.append(("INS", i, "", b[j]))
+            out.append(("INS", head + i, "", y[j]))
     return out[::-1]
 
 
+# Codes of an alignment's steps, one a token: kept, changed, dropped, added.
+CODES = {"KEEP": "=", "SUB": "~", "DEL": "-", "INS": "+"}
+
+
+def alignment_codes(a: list[str], b: list[str]) -> str:
+    """The alignment as one code a step."""
+    out, at = [], 0
+    for kind, pos, _, _ in alignment(a, b):
+        out += [CODES["KEEP"]] * (pos - at) + [CODES[kind]]
+        at = pos + (kind != "INS")
+    return "".join(out + [CODES["KEEP"]] * (len(a) - at))
+
+
+def aligned(a: Column, b: Column) -> Column:
+    """Alignment codes of two token arrays; null for a null side."""
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([None if u is None or v is None else alignment_codes(u, v) for u, v in zip(x.to_pylist(), y.to_pylist())], pa.string())
+
+    return F.arrow_udf(run, "string")(a, b)
+
+
 def _lcs_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     pairs = zip(a.to_pylist(), b.to_pylist())
     return pa.array([None if x is None or y is None else 1 - lcs_length(x, y) / max(len(x), len(y), 1) for x, y in pairs], pa.float64())
@@ -63,20 +121,36 @@ def edits(a: Column, b: Column) -> Column:
     return F.arrow_udf(_edits, "array<struct<kind:string,pos:int,old:string,new:string>>")(a, b)
 
 
-def _common(strings: pa.Array) -> pa.Array:
-    out = []
-    for group in strings.to_pylist():
-        best = (group or [""])[0] or ""
-        for s in (group or [])[1:]:
-            m = SequenceMatcher(None, best, s or "", autojunk=False).find_longest_match()
-            best = best[m.a : m.a + m.size]
-        out.append(best)
-    return pa.array(out, pa.string())
+def longest_common(strings: list[str | None]) -> str:
+    """The longest substring of all strings, the leftmost in the shortest: its length by binary search, since every part of
+    a common substring is common."""
+    group = [s or "" for s in strings]
+    if not group:
+        return ""
+    shortest = min(group, key=len)
+
+    def common(n: int) -> str | None:
+        shared = {s for s in (shortest[i : i + n] for i in range(len(shortest) - n + 1))}
+        for other in group:
+            shared = {s for s in shared if s in other} if len(shared) * n < len(other) else shared & {other[i : i + n] for i in range(len(other) - n + 1)}
+            if not shared:
+                return None
+        return min(shared, key=shortest.index)
+
+    low, high, best = 0, len(shortest), ""
+    while low < high:
+        mid = (low + high + 1) // 2
+        found = common(mid)
+        if found is None:
+            high = mid - 1
+        else:
+            low, best = mid, found
+    return best
 
 
 def common_substring(strings: Column) -> Column:
-    """A substring common to all strings of an array, by folding the longest common substring of neighbours."""
-    return F.arrow_udf(_common, "string")(strings)
+    """The longest substring common to all strings of an array; a null string is empty."""
+    return F.arrow_udf(lambda batch: pa.array([longest_common(g or []) for g in batch.to_pylist()], pa.string()), "string")(strings)
 
 
 def _valid(source: pa.Array) -> pa.Array:

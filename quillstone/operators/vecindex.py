@@ -10,33 +10,87 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 
-def knn(rows: DataFrame, queries: DataFrame, k: int, block: int = 8192) -> DataFrame:
-    """(query_id, vec_id, dist) of the k nearest other vectors by L2, ties to the smaller id, identical vectors included.
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
-    Rows and queries meet in blocks: each task compares one block of rows with one block of queries by a matrix
-    product and returns the best k of each query, so memory is bounded by the block."""
+
+def knn(rows: DataFrame, queries: DataFrame, k: int, block: int = 8192, keep_equal: bool = False) -> DataFrame:
+    """(query_id, vec_id, dist, rank) of the k nearest other vectors by L2, ties to the smaller id.
+
+    Vectors equal to the query's are left out unless kept.  Vectors that are null, empty or hold null take no part, and
+    only vectors of one length meet.  Rows and queries meet in blocks: each task compares one block of rows with one
+    block of queries by a matrix product, checks the best by exact distances and returns the best k of each query, so
+    memory is bounded by the block."""
+    usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull())
+    rows, queries = rows.where(usable), queries.where(usable)
     nr, nq = (max(1, -(-df.count() // block)) for df in (rows, queries))
-    r = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(nr)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), "vec_id", "embedding")
-    q = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))).alias("rb"), F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int").alias("qb"), F.col("vec_id").alias("query_id"), "embedding")
+    size = F.size("embedding").alias("size")
+    r = rows.select(size, F.pmod(F.xxhash64("vec_id"), F.lit(nr)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), "vec_id", "embedding")
+    q = queries.select(size, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))).alias("rb"), F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int").alias("qb"), F.col("vec_id").alias("query_id"), "embedding")
 
     def nearest(mine: pa.Table, asks: pa.Table) -> pa.Table:
         out = []
         if len(mine) and len(asks):
-            x, ids = np.array(mine.column("embedding").to_pylist(), float), mine.column("vec_id").to_numpy()
-            y, names = np.array(asks.column("embedding").to_pylist(), float), asks.column("query_id").to_numpy()
-            for i in range(len(y)):
-                d = np.sqrt(((x - y[i]) ** 2).sum(axis=1))
-                best = np.lexsort((ids, d))[: k + 1]
-                best = best[ids[best] != names[i]][:k]
-                out.append((np.full(len(best), names[i]), ids[best], d[best]))
+            x, ids = _matrix(mine.column("embedding")), mine.column("vec_id").to_numpy()
+            y, names = _matrix(asks.column("embedding")), asks.column("query_id").to_numpy()
+            xx = (x * x).sum(axis=1)
+            slack = 1e-9 * (1.0 + xx.max())
+            for a in range(0, len(y), 256):
+                rough = xx - 2.0 * (y[a : a + 256] @ x.T)  # squared distance but for the query's own square
+                for i, row in enumerate(rough, a):
+                    row[ids == names[i]] = np.inf
+                    if not keep_equal:
+                        row[(row <= slack - y[i] @ y[i]) & (x == y[i]).all(axis=1)] = np.inf
+                    able = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1] + slack) if k else np.empty(0, int)
+                    able = able[row[able] < np.inf]
+                    d = np.sqrt(((x[able] - y[i]) ** 2).sum(axis=1))
+                    best = np.lexsort((ids[able], d))[:k]
+                    out.append((np.full(len(best), names[i]), ids[able][best], d[best]))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "dist": pa.array(cols[2], pa.float64())})
 
-    found = r.groupBy("rb", "qb").cogroup(q.groupBy("rb", "qb")).applyInArrow(nearest, "query_id long, vec_id long, dist double")
+    key = ["size", "rb", "qb"]
+    found = r.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(nearest, "query_id long, vec_id long, dist double")
     w = Window.partitionBy("query_id").orderBy("dist", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def build_or_load(rows: DataFrame, path: str, cells: int = 64, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
+    """(vectors(cell, vec_id, embedding) in folders by cell, centroids) of the index at the path, built first unless complete there.
+
+    Centroids are ``cells`` vectors of smallest hash, so the index is the same whoever builds it."""
+    spark = rows.sparkSession
+    last = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/centroids/_SUCCESS")
+    if not last.getFileSystem(spark._jsc.hadoopConfiguration()).exists(last):
+        picked = rows.where("embedding is not null").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(cells).select("vec_id", "embedding").toArrow()  # cells rows
+        centers = _matrix(picked.column("embedding"))
+
+        def assign(batches):
+            for b in batches:
+                if len(b):
+                    x = _matrix(b.column("embedding"))
+                    cell = ((centers * centers).sum(axis=1) - 2.0 * (x @ centers.T)).argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *b.columns], ["cell", *b.schema.names])
+
+        kind = dict(rows.dtypes)["embedding"]
+        placed = rows.where("embedding is not null").select("vec_id", "embedding").mapInArrow(assign, f"cell int, vec_id long, embedding {kind}")
+        placed.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+        spark.createDataFrame(picked).coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    centers = spark.read.parquet(f"{path}/centroids").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").toArrow()
+    return spark.read.parquet(f"{path}/vectors"), _matrix(centers.column("embedding"))
+
+
+def knn_in_cells(index: tuple[DataFrame, np.ndarray], query: list[float], k: int, probes: int) -> DataFrame:
+    """The k nearest of one query among the vectors of its nearest cells; other cells' folders are not read."""
+    found, centers = index
+    q = np.asarray(query, float)
+    near = np.argsort(((centers - q) ** 2).sum(axis=1), kind="stable")[:probes]
+    asked = F.array(*[F.lit(float(v)) for v in q])
+    dist = F.sqrt(F.aggregate(F.zip_with("embedding", asked, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v))
+    return found.where(F.col("cell").isin([int(c) for c in near])).select("vec_id", dist.alias("dist")).orderBy("dist", "vec_id").limit(k)
+
+
 def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 

@@ -81,7 +81,7 @@ def approx_cyclomatic(spark, sf):
 
 def comment_lines(spark, sf):
     ls = F.split("text", "\n", -1)
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(F.filter(ls, X.is_comment_or_empty)).cast("long").alias("n"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(F.filter(ls, lambda x: X.is_comment_or_empty(x))).cast("long").alias("n"))
 
 
 def visible_text(spark, sf):

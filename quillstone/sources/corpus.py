@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -99,12 +99,10 @@ def edit_contexts(spark: SparkSession, path: str, diversity: float = 1.0, drop_u
     return out.where("old_mid <> 'UNKNOWN_CHAR' and new_mid <> 'UNKNOWN_CHAR'") if drop_unknown else out
 
 
-def training_log(df: DataFrame, line: str = "line", order: str = "line_no") -> DataFrame:
-    """Log lines -> (step, loss, mrr, val); a validation line takes the step before it."""
-    from pyspark.sql import Window
-
+def training_log(df: DataFrame, line: str = "line", order: str = "line_no", by: str | None = None) -> DataFrame:
+    """Log lines -> (step, loss, mrr, val); a validation line takes the step before it.  ``by`` names the log: one task a log."""
     num = r"([0-9.]+)"
     step = F.regexp_extract(line, r"step\s+(\d+)", 1)
-    got = df.select(order, *[F.nullif(F.regexp_extract(line, rf"{k}\s+{num}", 1), F.lit("")).cast("double").alias(a) for k, a in (("loss", "loss"), ("mrr", "mrr"), (r"val@1", "val"))],
+    got = df.select(*([by] if by else []), order, *[F.nullif(F.regexp_extract(line, rf"{k}\s+{num}", 1), F.lit("")).cast("double").alias(a) for k, a in (("loss", "loss"), ("mrr", "mrr"), (r"val@1", "val"))],
                     F.nullif(step, F.lit("")).cast("long").alias("own"))
-    return got.withColumn("step", F.last("own", ignorenulls=True).over(Window.orderBy(order))).drop("own")
+    return got.withColumn("step", F.last("own", ignorenulls=True).over(Window.partitionBy(F.col(by) if by else F.lit(0)).orderBy(order))).drop("own")
