@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evaluation, relational, repairs, rewriting, scores, search, structure, textstats, tokens
+from .plans import evaluation, records, relational, repairs, rewriting, scores, search, structure, textstats, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [search, relational, textstats, repairs, evaluation, rewriting, tokens, structure, scores]
+MODULES = [search, relational, textstats, repairs, evaluation, rewriting, tokens, structure, scores, records]
 
 
 def queries() -> dict[str, Query]:
