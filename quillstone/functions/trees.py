@@ -35,6 +35,54 @@ def tree_nodes(source: Column) -> Column:
     return F.arrow_udf(_nodes, "array<struct<id:int,parent:int,kind:string>>")(source)
 
 
+_PATHS = pa.list_(pa.struct([("start", pa.string()), ("path", pa.string()), ("end", pa.string())]))
+
+
+def leaf_paths(nodes: list[tuple[int, str]], length: int = 5, width: int = 5) -> list[tuple[str, str, str]]:
+    """``nodes`` as (parent, kind) by number -> (kind of a leaf, path up and down, kind of a later leaf).
+
+    A path has at most ``length`` steps, and the branches that it takes at its top are at most ``width`` children apart."""
+    children: dict[int, list[int]] = {}
+    for i, (parent, _) in enumerate(nodes):
+        children.setdefault(parent, []).append(i)
+    place = {c: n for own in children.values() for n, c in enumerate(own)}
+    order: list[int] = []
+    todo = [c for c in reversed(children.get(-1, []))]
+    while todo:  # leaves in text order
+        i = todo.pop()
+        if i not in children:
+            order.append(i)
+        todo.extend(reversed(children.get(i, [])))
+    above = {}
+    for leaf in order:
+        chain, at = [leaf], leaf
+        while nodes[at][0] >= 0 and len(chain) <= length:
+            at = nodes[at][0]
+            chain.append(at)
+        above[leaf] = chain
+    out = []
+    for n, a in enumerate(order):
+        steps = {x: d for d, x in enumerate(above[a])}
+        for b in order[n + 1 :]:
+            down = next((d for d, x in enumerate(above[b]) if x in steps), None)
+            if down is None:
+                continue
+            up = steps[above[b][down]]
+            if up + down <= length and up and down and place[above[b][down - 1]] - place[above[a][up - 1]] <= width:
+                path = "^".join(nodes[x][1] for x in above[a][1 : up + 1]) + "".join(f"_{nodes[x][1]}" for x in reversed(above[b][1:down]))
+                out.append((nodes[a][1], path, nodes[b][1]))
+    return out
+
+
+def path_contexts(nodes: Column, length: int = 5, width: int = 5) -> Column:
+    """array<struct<start, path, end>> of a tree as ``tree_nodes`` gives it; null for null."""
+    def run(batch: pa.Array) -> pa.Array:
+        rows = [None if t is None else [dict(zip(("start", "path", "end"), p)) for p in leaf_paths([(n["parent"], n["kind"]) for n in t], length, width)] for t in batch.to_pylist()]
+        return pa.array(rows, _PATHS)
+
+    return F.arrow_udf(run, "array<struct<start:string,path:string,end:string>>")(nodes)
+
+
 def parses(tokens: list[str]) -> bool:
     try:
         ast.parse(" ".join(tokens))
