@@ -23,7 +23,8 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, block: int = 8192, keep_equ
     block of queries by a matrix product, checks the best by exact distances and returns the best k of each query, so
     memory is bounded by the block."""
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull())
-    rows, queries = rows.where(usable), queries.where(usable)
+    own = [F.col(c).alias(c) for c in ("vec_id", "embedding")]  # columns of their own, should both come from one table
+    rows, queries = (df.where(usable).select(*own) for df in (rows, queries))
     nr, nq = (max(1, -(-df.count() // block)) for df in (rows, queries))
     size = F.size("embedding").alias("size")
     r = rows.select(size, F.pmod(F.xxhash64("vec_id"), F.lit(nr)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), "vec_id", "embedding")
