@@ -47,7 +47,7 @@ _L, _S = "A-Za-zÀ-ÖØ-öø-ɏ", "\t-\r "
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^{_S}0-9{_L}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile(f"[^\x00-\x7f{_L[6:]}]")
 #: Text of a block, in characters.
-BLOCK = 24_000_000
+BLOCK = 16_000_000
 BLOCK_KEY = 1 << 40
 PART_BYTES = 32_000_000
 
@@ -263,7 +263,7 @@ def _joined(values: pa.Array, at: pa.Array, offsets: pa.Array, by: str | bytes)
     return pc.binary_join(pa.LargeListArray.from_arrays(offsets, values.take(at)), pa.scalar(by, values.type))
 
 
-def _spans(sizes: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _spans(sizes: np.ndarray, most: int = 200_000) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about that many words at most."""
     a = total = 0
     for b, n in enumerate(sizes.tolist()):
