@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import distributions, evaluation, grammars, records, relational, repairs, rewriting, scores, search, structure, textstats, tokens
+from .plans import datasets, distributions, evaluation, grammars, records, relational, repairs, rewriting, scores, search, structure, textstats, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [search, relational, textstats, repairs, evaluation, rewriting, tokens, structure, scores, records, grammars, distributions]
+MODULES = [search, relational, textstats, repairs, evaluation, rewriting, tokens, structure, scores, records, grammars, distributions, datasets]
 
 
 def queries() -> dict[str, Query]:

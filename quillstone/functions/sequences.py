@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -167,3 +169,74 @@ def _valid(source: pa.Array) -> pa.Array:
 def python_error(source: Column) -> Column:
     """Null for source that parses as Python, else the error's type."""
     return F.arrow_udf(_valid, "string")(source)
+
+
+def _first_error(source: pa.Array) -> pa.Array:
+    out = []
+    for s in source.to_pylist():
+        at = None
+        try:
+            compile(s or "", "<snippet>", "exec", dont_inherit=True)
+        except SyntaxError as e:
+            lines = (s or "").split("\n")
+            line = min(max(e.lineno or 1, 1), len(lines))
+            at = sum(len(x) + 1 for x in lines[: line - 1]) + max((e.offset or 1) - 1, 0)
+        except (ValueError, MemoryError, RecursionError):
+            at = 0
+        out.append(at)
+    return pa.array(out, pa.int32())
+
+
+def python_error_place(source: Column) -> Column:
+    """0-based character at which reading the source as Python fails first; null for source that parses."""
+    return F.arrow_udf(_first_error, "int")(source)
+
+
+def _assignment(cost: list[list[float]]) -> float:
+    """Least total cost of pairing rows with columns, as many of each (shortest augmenting paths)."""
+    n = len(cost)
+    u, v, match = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        match[0], j = i, 0
+        least, way, used = [float("inf")] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while match[j]:
+            used[j] = True
+            delta, nxt = float("inf"), 0
+            for k in range(1, n + 1):
+                if not used[k]:
+                    c = cost[match[j] - 1][k - 1] - u[match[j]] - v[k]
+                    if c < least[k]:
+                        least[k], way[k] = c, j
+                    if least[k] < delta:
+                        delta, nxt = least[k], k
+            for k in range(n + 1):
+                if used[k]:
+                    u[match[k]] += delta
+                    v[k] -= delta
+                else:
+                    least[k] -= delta
+            j = nxt
+        while j:
+            match[j] = match[way[j]]
+            j = way[j]
+    return sum(cost[match[k] - 1][k - 1] for k in range(1, n + 1))
+
+
+def earth_mover(a: list[list[float]], b: list[list[float]]) -> float:
+    """Wasserstein distance of two sets of points of equal weight: each point is split so that both sides have as many."""
+    if not a or not b:
+        return float("nan")
+    m = math.lcm(len(a), len(b))
+    x, y = [p for p in a for _ in range(m // len(a))], [p for p in b for _ in range(m // len(b))]
+    return _assignment([[math.dist(p, q) for q in y] for p in x]) / m
+
+
+def point_set_distances(a: Column, b: Column) -> Column:
+    """struct(least, mover) of two arrays of vectors: the smallest distance of two points, and the earth mover's; for small sets."""
+    kind = pa.struct([("least", pa.float64()), ("mover", pa.float64())])
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = [None if not p or not q else {"least": min(math.dist(s, t) for s in p for t in q), "mover": earth_mover(p, q)} for p, q in zip(x.to_pylist(), y.to_pylist())]
+        return pa.array(out, kind)
+
+    return F.arrow_udf(run, "struct<least:double,mover:double>")(a, b)

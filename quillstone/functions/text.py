@@ -180,3 +180,32 @@ def padded_chars(text: Column, size: int, vocabulary: int = 256) -> Column:
     """Character codes modulo the vocabulary, zero-padded or cut to size."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c) % vocabulary)
     return F.slice(F.concat(codes, F.array_repeat(F.lit(0), size)), 1, size)
+
+
+def documentation(lines: Column) -> Column:
+    """The comment lines of a text's lines; empty ones don't count as comments here."""
+    return F.filter(lines, lambda x: (F.length(F.trim(x)) > 1) & F.substring(F.trim(x), 1, 2).isin(*COMMENT_PREFIXES))
+
+
+def code_lines(lines: Column) -> Column:
+    """The lines that are no comment."""
+    return F.filter(lines, lambda x: (F.length(F.trim(x)) <= 1) | ~F.substring(F.trim(x), 1, 2).isin(*COMMENT_PREFIXES))
+
+
+def until_last_call(text: Column) -> Column:
+    """Up to and with the last opening bracket; all of a text without one."""
+    return F.when(F.contains(text, F.lit("(")), F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, "(", -1))))).otherwise(text)
+
+
+def brackets_replaced(text: Column, seed: Column, n: int, by: str) -> Column:
+    """``n`` of the text's brackets, picked by hash, replaced (by a mask, or by nothing); fewer brackets: all of them."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), 0)
+    marked = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.when(c.isin(*BRACKETS), F.md5(F.concat_ws("-", seed, i))).alias("h")))
+    picked = F.slice(F.array_sort(F.filter(F.transform(marked, lambda m: m["h"]), lambda h: h.isNotNull())), 1, n)
+    return F.array_join(F.transform(marked, lambda m: F.when(m["h"].isNotNull() & F.array_contains(picked, m["h"]), F.lit(by)).otherwise(m["c"])), "")
+
+
+def rouge_recall_with_synonyms(reference: Column, candidate: Column, synonyms: Column) -> Column:
+    """Share of the reference's token set found in the candidate's, a token also counting by any of its synonyms (map<token, array>)."""
+    found = F.filter(F.array_distinct(reference), lambda t: F.array_contains(candidate, t) | F.coalesce(F.arrays_overlap(F.element_at(synonyms, t), candidate), F.lit(False)))
+    return F.size(found) / F.greatest(F.size(F.array_distinct(reference)), F.lit(1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import automata, vecindex
 from ..sources.corpus import table
-from .search import _KNN, knn_graph_edges_whole
+from .search import _KNN, _KNN_ALL, knn_graph_edges_whole
 
 #: Balanced brackets of one kind, without the empty word.
 DYCK = automata.Grammar("S", (("S", "S", "S"), ("S", "L", "R"), ("S", "L", "T"), ("T", "S", "R")), (("L", "("), ("R", ")")))
@@ -120,6 +120,9 @@ ORACLE_SQL = {
     "knn_bfs": f"""WITH RECURSIVE {_KNN % 5}, e AS (SELECT query_id AS u, vec_id AS v FROM k UNION SELECT vec_id, query_id FROM k),
         b AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS level UNION SELECT e.v, level + 1 FROM b JOIN e ON e.u = b.node WHERE level < 3)
         SELECT node, min(level) AS level FROM b GROUP BY node""",
+    "knn_bfs_whole": f"""WITH RECURSIVE {_KNN_ALL % 5}, e AS (SELECT query_id AS u, vec_id AS v FROM k UNION SELECT vec_id, query_id FROM k),
+        b AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS level UNION SELECT e.v, level + 1 FROM b JOIN e ON e.u = b.node WHERE level < 3)
+        SELECT node, min(level) AS level FROM b GROUP BY node""",
     "masked_tokens": r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '\w+') AS w FROM conversations),
         x AS (SELECT *, len(w) AS n, unnest(range(len(w))) AS p FROM t WHERE len(w) > 0),
         h AS (SELECT *, md5(conv_id || '-' || turn || '-' || p) AS h FROM x),

@@ -11,13 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import padded_chars
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def files(spark: SparkSession, root: str, extension: str | None = None, archives: bool = False) -> DataFrame:
-    """(uri, content) of all files below root, of one extension or of any; with archives also members of zip and tar files."""
+def files(spark: SparkSession, root: str, extension: str | tuple[str, ...] | None = None, archives: bool = False) -> DataFrame:
+    """(uri, content) of all files below root, of one extension, of some or of any; with archives also members of zip and tar files."""
+    if isinstance(extension, tuple):
+        return files(spark, root, None, archives).where(F.substring_index("uri", ".", -1).isin(*extension))
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extension and not archives:
         reader = reader.option("pathGlobFilter", f"*.{extension}")
@@ -106,3 +110,56 @@ def training_log(df: DataFrame, line: str = "line", order: str = "line_no", by:
     got = df.select(*([by] if by else []), order, *[F.nullif(F.regexp_extract(line, rf"{k}\s+{num}", 1), F.lit("")).cast("double").alias(a) for k, a in (("loss", "loss"), ("mrr", "mrr"), (r"val@1", "val"))],
                     F.nullif(step, F.lit("")).cast("long").alias("own"))
     return got.withColumn("step", F.last("own", ignorenulls=True).over(Window.partitionBy(F.col(by) if by else F.lit(0)).orderBy(order))).drop("own")
+
+
+def small_repairs(records: DataFrame, tokens: tuple[int, int], most: Column, distance: Column) -> DataFrame:
+    """2-line records (``first`` broken, ``second`` fixed) whose broken side has a fitting number of tokens and whose distance is at most that."""
+    size = F.size(F.split("first", " "))
+    return records.where(size.between(*tokens) & (distance <= most))
+
+
+def ngram_model(spark: SparkSession, path: str) -> DataFrame:
+    """(ngram, n) of a CSV whose last column is the count and whose other columns are the tokens."""
+    parts = F.split("value", ",")
+    raw = spark.read.text(path).where(F.size(parts) > 1)
+    return raw.select(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda t: F.trim(t)).alias("ngram"), F.trim(F.element_at(parts, -1)).cast("long").alias("n")).where("n is not null")
+
+
+def merged_models(*models: DataFrame) -> DataFrame:
+    """(ngram, n): counts of all models added."""
+    every = models[0]
+    for m in models[1:]:
+        every = every.unionByName(m)
+    return every.groupBy("ngram").agg(F.sum("n").alias("n"))
+
+
+def write_split(df: DataFrame, key: str, path: str, every: int = 10) -> None:
+    """``path/train`` and ``path/valid``: one row in ``every``, by hash of the key, validates."""
+    held = F.pmod(F.xxhash64(key), F.lit(every)) == 0
+    df.where(~held).write.mode("overwrite").parquet(f"{path}/train")
+    df.where(held).write.mode("overwrite").parquet(f"{path}/valid")
+
+
+def training_batches(blocks: DataFrame, negatives: int, size: int) -> DataFrame:
+    """Blocks (first = query, second = truth, rest = candidates) -> (batch, query, positive, negatives): the first candidates that
+    aren't the truth, blocks without enough of them left out; batches in hash order of the query."""
+    wrong = F.filter("rest", lambda c: c != F.col("second"))
+    rows = blocks.select(F.col("first").alias("query"), F.col("second").alias("positive"), F.slice(wrong, 1, negatives).alias("negatives")).where(F.size("negatives") == negatives)
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(F.md5("query"), "query", "positive")) - 1
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(64)))  # batches are cut inside 64 parts, not in one task
+    return rows.withColumn("batch", F.concat_ws("-", "part", F.floor(nth / size))).drop("part")
+
+
+def query_with_document(query: Column, document: Column, size: int, separator: str = "|") -> Column:
+    """Padded character codes of the query, a separator and the document."""
+    return padded_chars(F.concat(query, F.lit(separator), document), size)
+
+
+def texts(found: DataFrame, extensions: tuple[str, ...] = ("java", "kt", "py", "txt", "md")) -> DataFrame:
+    """``files`` -> (uri, text): decoded contents, null for other extensions, whether a file of its own or an archive's member."""
+    return found.select("uri", F.when(F.substring_index("uri", ".", -1).isin(*extensions), F.decode("content", "UTF-8")).alias("text"))
+
+
+def indexed_lines(found: DataFrame, extensions: tuple[str, ...] = ("java", "kt", "py", "txt", "md")) -> DataFrame:
+    """``files`` -> (uri, line_no, line): the fragments of all texts, what an index is fed with."""
+    return fragments(texts(found, extensions).where("text is not null"), "text", "uri")
