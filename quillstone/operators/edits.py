@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequences import edits
@@ -52,3 +52,22 @@ def rank_of_truth(candidates_ranked: DataFrame, truth: DataFrame, key: str = "id
     """(key, rank0) of the true candidate, -1 if it is absent."""
     hit = candidates_ranked.join(truth.select(key, F.col("truth").alias("candidate")), [key, "candidate"]).select(key, "rank0")
     return truth.select(key).join(hit, key, "left").withColumn("rank0", F.coalesce("rank0", F.lit(-1)))
+
+
+def insertion_ranks(items: DataFrame, at: Column) -> DataFrame:
+    """``items(id, truth)``, the truth's word at a 0-based place being lost -> (id, rank0) of the truth among all distinct insertions
+    of one word of the vocabulary (all words of all truths): frequent words first, then by word, then by place.
+
+    Nothing is enumerated: a word v can be put back in size + 1 ways less one for each v already there, so the candidates
+    of the words before the lost one are a product less a count of the item's words that come before it."""
+    rows = items.select("id", "truth", at.alias("at")).select("id", "at", F.get("truth", F.col("at")).alias("lost"), F.concat(F.slice("truth", F.lit(1), F.col("at")), F.slice("truth", F.col("at") + 2, F.size("truth"))).alias("w"))
+    n = items.select(F.explode("truth").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # the vocabulary's order in two levels: totals of equal counts, then words inside one count
+    sizes = n.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    sizes = sizes.withColumn("before", F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))  # one row a count
+    order = n.withColumn("inside", F.row_number().over(Window.partitionBy("n").orderBy("word")) - 1).join(sizes.select("n", "before"), "n").select("word", (F.col("before") + F.col("inside")).alias("place"))
+    rows = rows.join(order.withColumnRenamed("word", "lost"), "lost")
+    own = rows.select("id", F.col("place").alias("lost_place"), F.explode("w").alias("word")).join(order, "word").where(F.col("place") < F.col("lost_place")).groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    fresh = F.filter(F.sequence(F.lit(0), F.size("w")), lambda p: (p == 0) | (F.get("w", p - 1) != F.col("lost")))  # insertions that differ
+    ways = F.size(F.filter(fresh, lambda p: p <= F.col("at"))) - 1
+    return rows.join(own, "id", "left").select("id", (F.col("place") * (F.size("w") + 1) - F.coalesce("own", F.lit(0)) + ways).alias("rank0"))

@@ -11,6 +11,7 @@ from ..operators.automata import grammar_distance
 from ..sources import corpus, records
 from ..sources.corpus import table, with_tokens
 from .evaluation import DIALOGUE, _roles
+from .structure import statements
 
 
 def mined_repositories(spark, sf):
@@ -132,17 +133,9 @@ def pair_codes(spark, sf):
     return _turn_pairs(spark, sf).select("conv_id", "turn", F.array_join(codes, ",").alias("codes"))
 
 
-def _statements(spark, sf):
-    """Python statements made of the orders' columns, one of each shape, with the number of orders of the shape."""
-    o = table(spark, sf, "orders").select(F.format_string(
-        "def f_%s(key, *rest):\n    for i in range(%d):\n        total = price(key, [i, '%s']) + %s\n    return {'%s': total}\n",
-        "o_orderstatus", F.col("o_custkey") % 3, "o_orderpriority", F.when(F.col("o_totalprice") > 200000, "rest[0]").otherwise("-1"), "o_orderstatus").alias("source"))
-    return o.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
 def statement_productions(spark, sf):
     """Kinds of a node, two neighbouring children and the first child of each, over all statements."""
-    t = _statements(spark, sf).select("n", F.explode(F.array(trees.tree_nodes(F.col("source")))).alias("t"))
+    t = statements(spark, sf).select("n", F.explode(F.array(trees.tree_nodes(F.col("source")))).alias("t"))
     kids = t.select("n", "t", F.posexplode("t").alias("i", "a"))
     two = kids.select("n", "t", "i", "a", F.get("t", F.col("i") + 1).alias("b")).where("a.parent = b.parent")
     first = lambda at: F.coalesce(F.get(F.filter("t", lambda x: x["parent"] == at), F.lit(0))["kind"], F.lit(""))
@@ -152,7 +145,7 @@ def statement_productions(spark, sf):
 
 def statement_lexing(spark, sf):
     """Statements as kinds of tokens, rendered anew: whether the rendering still parses and has the same kinds."""
-    s = _statements(spark, sf).select("n", F.explode(F.array(lexers.python_kinds(lexers.python_tokens(F.col("source"))))).alias("k"))
+    s = statements(spark, sf).select("n", F.explode(F.array(lexers.python_kinds(lexers.python_tokens(F.col("source"))))).alias("k"))
     r = s.select("n", "k", F.explode(F.array(lexers.rendered_python(F.col("k")))).alias("source"))
     back = lexers.python_kinds(lexers.python_tokens(F.col("source")))
     return r.groupBy(sequences.python_error(F.col("source")).isNull().alias("parses"), (back == F.col("k")).alias("same")).agg(F.sum("n").alias("n"))
@@ -160,7 +153,7 @@ def statement_lexing(spark, sf):
 
 def error_places(spark, sf):
     """Tenth of a statement at which reading fails if its last bracket is missing."""
-    s = _statements(spark, sf).select("n", F.regexp_replace("source", r"(?s)[)\]}]([^)\]}]*)$", "$1").alias("source"))
+    s = statements(spark, sf).select("n", F.regexp_replace("source", r"(?s)[)\]}]([^)\]}]*)$", "$1").alias("source"))
     at = s.select("n", (sequences.python_error_place(F.col("source")) * 10 / F.length("source")).cast("long").alias("tenth"))
     return at.groupBy("tenth").agg(F.sum("n").alias("n"))
 

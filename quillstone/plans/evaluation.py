@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import automata, vecindex
 from ..sources.corpus import table
-from .search import _KNN, _KNN_ALL, knn_graph_edges_whole
+from .search import _KNN, _KNN_ALL, knn_graph_edges
 
 #: Balanced brackets of one kind, without the empty word.
 DYCK = automata.Grammar("S", (("S", "S", "S"), ("S", "L", "R"), ("S", "L", "T"), ("T", "S", "R")), (("L", "("), ("R", ")")))
@@ -46,13 +46,8 @@ def nearest_other_label(spark, sf):
 
 
 def knn_bfs(spark, sf):
-    """Vectors within three steps of vector 0 over the edges between every hundredth vector and its five nearest."""
-    return _within_three(vecindex.undirected(_near(spark, sf, 5), "query_id", "vec_id"))
-
-
-def knn_bfs_whole(spark, sf):
     """Vectors within three steps of vector 0 in the undirected five-neighbour graph of all vectors."""
-    return _within_three(knn_graph_edges_whole(spark, sf))
+    return _within_three(knn_graph_edges(spark, sf))
 
 
 def _within_three(edges):
@@ -84,10 +79,14 @@ def weighted_sample(spark, sf):
 
 
 def dfa_filter(spark, sf):
-    """Parts of brands whose digits the automaton learnt from three brands, against two others, accepts."""
-    dfa = automata.learn_dfa(["11", "13", "1111"], ["12", "1"])
-    digits = F.regexp_extract_all("p_brand", F.lit("([0-9])"))
-    return table(spark, sf, "part").where(automata.accepted(digits, dfa)).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    """Parts of brands that the learnt automaton accepts: it learns the digits of brands with at least an average number of
+    parts, against those of the others (1000 brands at most), and agrees with all that it learnt from."""
+    p = table(spark, sf, "part")
+    n = p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    known = n.crossJoin(F.broadcast(n.agg(F.avg("n").alias("mean")))).orderBy(F.desc("n"), "p_brand").limit(1000).collect()  # one row; 1000 brands
+    words = lambda good: ["".join(c for c in r["p_brand"] or "" if c.isdigit()) for r in known if (r["n"] >= r["mean"]) == good]
+    dfa = automata.learn_dfa(words(True), words(False))
+    return p.where(automata.accepted(F.regexp_extract_all("p_brand", F.lit("([0-9])")), dfa)).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _roles(spark, sf):
@@ -106,7 +105,7 @@ def dialogue_repairs(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    pak_grouping_sets, precision_recall_at_k, nearest_other_label, knn_bfs, knn_bfs_whole, masked_tokens, weighted_sample, dfa_filter, dialogue_distance, dialogue_repairs)}
+    pak_grouping_sets, precision_recall_at_k, nearest_other_label, knn_bfs, masked_tokens, weighted_sample, dfa_filter, dialogue_distance, dialogue_repairs)}
 _LABELLED = "l AS (SELECT k.*, a.label, b.label AS q_label FROM k JOIN embeddings a ON a.vec_id = k.vec_id JOIN embeddings b ON b.vec_id = k.query_id)"
 ORACLE_SQL = {
     "pak_grouping_sets": f"""WITH {_KNN % 10}, {_LABELLED},
@@ -117,10 +116,7 @@ ORACLE_SQL = {
         h AS (SELECT query_id, q_label, CAST(sum(CASE WHEN label = q_label THEN 1 ELSE 0 END) AS BIGINT) AS hits, count(*) AS n FROM l GROUP BY query_id, q_label)
         SELECT query_id, hits, round(hits / n, 6) AS precision, round(CASE WHEN relevant > 0 THEN hits / relevant ELSE 0.0 END, 6) AS recall FROM h JOIN s USING (q_label)""",
     "nearest_other_label": f"WITH {_KNN % 10}, {_LABELLED} SELECT q_label, label, round(min(dist), 6) AS least FROM l GROUP BY q_label, label",
-    "knn_bfs": f"""WITH RECURSIVE {_KNN % 5}, e AS (SELECT query_id AS u, vec_id AS v FROM k UNION SELECT vec_id, query_id FROM k),
-        b AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS level UNION SELECT e.v, level + 1 FROM b JOIN e ON e.u = b.node WHERE level < 3)
-        SELECT node, min(level) AS level FROM b GROUP BY node""",
-    "knn_bfs_whole": f"""WITH RECURSIVE {_KNN_ALL % 5}, e AS (SELECT query_id AS u, vec_id AS v FROM k UNION SELECT vec_id, query_id FROM k),
+    "knn_bfs": f"""WITH RECURSIVE {_KNN_ALL % 5}, e AS (SELECT query_id AS u, vec_id AS v FROM k UNION SELECT vec_id, query_id FROM k),
         b AS (SELECT CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS level UNION SELECT e.v, level + 1 FROM b JOIN e ON e.u = b.node WHERE level < 3)
         SELECT node, min(level) AS level FROM b GROUP BY node""",
     "masked_tokens": r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '\w+') AS w FROM conversations),
@@ -131,6 +127,7 @@ ORACLE_SQL = {
         SELECT conv_id, turn, max(n) AS n, count(*) FILTER (WHERE picked) AS n_picked,
           md5(string_agg(CASE WHEN NOT picked THEN w[p + 1] WHEN draw < 8 THEN '[MASK]' WHEN draw = 8 THEN w[p + 1] ELSE w[other + 1] END, ' ' ORDER BY p)) AS masked_md5
         FROM r GROUP BY conv_id, turn""",
+    "dfa_filter": "WITH n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) SELECT p_brand, n FROM n WHERE n >= (SELECT avg(n) FROM n)",
     "weighted_sample": """SELECT o_orderkey FROM (SELECT o_orderkey, -ln((CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 12) AS BIGINT) + 1.0::DOUBLE) / 281474976710657.0::DOUBLE) / o_totalprice AS key
         FROM orders WHERE o_totalprice > 0) ORDER BY key, o_orderkey LIMIT 100""",
 }

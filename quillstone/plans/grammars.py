@@ -6,10 +6,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import rewrites as R, sequences, text as X, trees
-from ..operators import edits, graphs, pairs, parsing
+from ..operators import edits, graphs, pairs, parsing, ranking
 from ..operators.stats import take_per_group
 from ..sources.corpus import table, with_tokens
 from .evaluation import DIALOGUE, _roles
+from .repairs import ORACLE_SQL as REPAIR_SQL
 from .repairs import _pairs
 
 #: Roles of dialogues that the bigram model and the automaton are learnt from: fixed values.
@@ -106,13 +107,10 @@ def token_gains(spark, sf):
 
 
 def repair_precision(spark, sf):
-    """Items without their middle word, candidates from the 40 commonest words: precision at 10 by length and edits."""
+    """Items without their middle word, any word of the vocabulary put back anywhere: precision at 1000 by tens of words left."""
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), X.words(F.lower("text")).alias("truth")).where(F.size("truth") >= 2)
-    words = b.select(F.explode("truth").alias("new")).groupBy("new").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "new").limit(40)
-    mid = F.floor(F.size("truth") / 2).cast("int")
-    broken = b.select("id", "truth", F.concat(F.slice("truth", F.lit(1), mid), F.slice("truth", mid + 2, F.size("truth"))).alias("w"))
-    scored = edits.candidates(broken, words).where("kind = 'INS'").join(F.broadcast(words), "new").select("id", "candidate", F.lit(1).alias("edits"), (-F.col("n")).alias("score"))
-    return pairs.evaluated(broken, scored, 10)
+    ranks = edits.insertion_ranks(b, F.floor(F.size("truth") / 2).cast("int")).join(b.select("id", (F.size("truth") - 1).alias("length")), "id")
+    return ranking.precision_by_bucket(ranks, 1000, [F.floor(F.col("length") / 10).alias("tens")])
 
 
 def choices(spark, sf):
@@ -137,13 +135,8 @@ ORACLE_SQL = {
         SELECT node, round(x, 3) AS x FROM r3""",
     "role_scores": f"""WITH t AS (SELECT conv_id, ['<begin>'] || list(role ORDER BY turn) || ['<end>'] AS p FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, p, unnest(range(1, len(p))) AS i FROM t),
         c AS (SELECT * FROM (VALUES {_COSTS}) v(a, b, cost)) SELECT conv_id, round(sum(cost), 6) AS score FROM s JOIN c ON c.a = p[i] AND c.b = p[i + 1] GROUP BY conv_id""",
-    "repair_precision": r"""WITH b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '\w+') AS t FROM benchmark),
-        f AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM b WHERE len(t) >= 2) GROUP BY w ORDER BY n DESC, w LIMIT 40),
-        k AS (SELECT id, t, t[1:len(t) // 2] || t[len(t) // 2 + 2:len(t)] AS x FROM b WHERE len(t) >= 2), q AS (SELECT *, unnest(range(0, len(x) + 1)) AS p FROM k),
-        c AS (SELECT id, t, x, x[1:p] || [w] || x[p + 1:len(x)] AS cand, min(-n) AS score FROM q, f GROUP BY ALL),
-        r AS (SELECT id, x, cand = t AS hit, row_number() OVER (PARTITION BY id ORDER BY score, array_to_string(cand, ' ')) - 1 AS rk FROM c),
-        z AS (SELECT id, any_value(len(x)) // 10 AS tens, coalesce(min(rk) FILTER (WHERE hit), -1) AS rk FROM r GROUP BY id),
-        o AS (SELECT tens, 1 AS dist, count(*) FILTER (WHERE rk >= 0 AND rk < 10) AS pos, count(*) FILTER (WHERE rk >= 10) AS high, count(*) FILTER (WHERE rk < 0) AS neg FROM z GROUP BY tens)
+    "repair_precision": REPAIR_SQL["repair_rank"].split("SELECT count(*) AS n, round")[0].replace(" AS rk FROM q", " AS rk, len(q.x) // 10 AS tens FROM q") + """,
+        o AS (SELECT tens, count(*) FILTER (WHERE rk < 1000) AS pos, count(*) FILTER (WHERE rk >= 1000) AS high, 0 AS neg FROM z GROUP BY tens)
         SELECT *, round(pos / (pos + high + neg + 1), 6) AS precision FROM o""",
     "choices": r"""WITH t AS (SELECT conv_id || ':' || turn AS id, role, regexp_extract_all(lower(text), '\w+') AS w FROM conversations), i AS (SELECT * FROM t WHERE len(w) > 0),
         n AS (SELECT role, word, count(*) AS n FROM (SELECT role, unnest(w) AS word FROM i) GROUP BY ALL), c AS (SELECT role, word FROM n QUALIFY row_number() OVER (PARTITION BY role ORDER BY n DESC, word) <= 4),

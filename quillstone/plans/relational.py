@@ -114,9 +114,13 @@ def decimal_mean_var(spark, sf):
     return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.round(F.avg(x), 4).alias("mean"), F.round(F.var_pop(x) / 1e6, 4).alias("var_m"))
 
 
+#: Order priorities and the names of their columns.
+PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+
+
 def pivot_report(spark, sf):
     o = table(spark, sf, "orders")
-    return o.groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "2-HIGH"]).agg(F.round(F.avg("o_totalprice"), 4)).select("o_orderstatus", F.col("1-URGENT").alias("urgent"), F.col("2-HIGH").alias("high"))
+    return o.groupBy("o_orderstatus").pivot("o_orderpriority", list(PRIORITIES)).agg(F.round(F.avg("o_totalprice"), 4)).select("o_orderstatus", *[F.col(k).alias(n) for k, n in PRIORITIES.items()])
 
 
 def correlation_by_flag(spark, sf):
@@ -187,7 +191,7 @@ ORACLE_SQL = {
     "grouping_sets_summary": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_discount), 6) AS avg_discount FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_returnflag, l_linestatus))",
     "rollup_total": "SELECT l_returnflag, count(*) AS n, CAST(sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM lineitem GROUP BY ROLLUP (l_returnflag)",
     "decimal_mean_var": "SELECT o_orderpriority, round(avg(o_totalprice), 4) AS mean, round(var_pop(o_totalprice) / 1e6::DOUBLE, 4) AS var_m FROM orders GROUP BY o_orderpriority",
-    "pivot_report": "SELECT o_orderstatus, round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT'), 4) AS urgent, round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '2-HIGH'), 4) AS high FROM orders GROUP BY o_orderstatus",
+    "pivot_report": "SELECT o_orderstatus, " + ", ".join(f"round(avg(o_totalprice) FILTER (WHERE o_orderpriority = '{k}'), 4) AS {n}" for k, n in PRIORITIES.items()) + " FROM orders GROUP BY o_orderstatus",
     "correlation_by_flag": "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY l_returnflag",
     "running_accuracy": "SELECT event_id, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS hits, count(*) OVER w AS total FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)",
     "chunk1000_rebalance": "WITH e AS (SELECT *, event_id // 1000 AS chunk FROM events), n AS (SELECT chunk, min(n) AS least FROM (SELECT chunk, event_type, count(*) AS n FROM e GROUP BY ALL) GROUP BY chunk) SELECT event_id, chunk, event_type FROM (SELECT *, row_number() OVER (PARTITION BY chunk, event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) AS nth FROM e) JOIN n USING (chunk) WHERE nth <= least",

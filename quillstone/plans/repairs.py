@@ -53,13 +53,10 @@ def applicable_edits(spark, sf):
 
 
 def repair_rank(spark, sf):
-    """The middle word of each item is dropped; candidates put a frequent word back anywhere; rank of the truth: MRR and P@k."""
+    """The middle word of each item is dropped; candidates put any word of the vocabulary back anywhere, frequent words first,
+    then by word and place; rank of the truth: MRR and P@k."""
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), X.words(F.lower("text")).alias("truth")).where(F.size("truth") >= 2)
-    words = b.select(F.explode("truth").alias("new")).groupBy("new").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "new").limit(40)
-    mid = F.floor(F.size("truth") / 2).cast("int")
-    broken = b.select("id", F.concat(F.slice("truth", F.lit(1), mid), F.slice("truth", mid + 2, F.size("truth"))).alias("w"))
-    scored = edits.candidates(broken, words).where("kind = 'INS'").join(F.broadcast(words), "new").select("id", "candidate", F.lit(1).alias("edits"), (-F.col("n")).alias("score"))
-    return stats.ranking_metrics(edits.rank_of_truth(edits.ranked(scored), b), "rank0", (1, 10, 100))
+    return stats.ranking_metrics(edits.insertion_ranks(b, F.floor(F.size("truth") / 2).cast("int")), "rank0", (1, 10, 100, 1000))
 
 
 def link_closure(spark, sf):
@@ -71,15 +68,15 @@ def link_closure(spark, sf):
 
 QUERIES = {f.__name__: f for f in (patch_kinds, patch_trigrams, lcs_rerank, edit_location_hist, edit_gaps, edit_distance_cdf, applicable_edits, repair_rank, link_closure)}
 ORACLE_SQL = {
-    "repair_rank": r"""WITH b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '\w+') AS t FROM benchmark),
-        f AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM b WHERE len(t) >= 2) GROUP BY w ORDER BY n DESC, w LIMIT 40),
-        k AS (SELECT id, t, t[1:len(t) // 2] || t[len(t) // 2 + 2:len(t)] AS x FROM b WHERE len(t) >= 2),
-        q AS (SELECT *, unnest(range(0, len(x) + 1)) AS p FROM k),
-        c AS (SELECT id, t, x[1:p] || [w] || x[p + 1:len(x)] AS cand, min(-n) AS score FROM q, f GROUP BY id, t, cand),
-        r AS (SELECT id, cand = t AS hit, row_number() OVER (PARTITION BY id ORDER BY score, array_to_string(cand, ' ')) - 1 AS rk FROM c),
-        z AS (SELECT id, coalesce(min(rk) FILTER (WHERE hit), -1) AS rk FROM r GROUP BY id)
-        SELECT count(*) AS n, round(avg(CASE WHEN rk >= 0 THEN 1.0::DOUBLE / (rk + 1) ELSE 0.0 END), 6) AS mrr, round(avg(CASE WHEN rk >= 0 AND rk < 1 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS p_at_1,
-          round(avg(CASE WHEN rk >= 0 AND rk < 10 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS p_at_10, round(avg(CASE WHEN rk >= 0 AND rk < 100 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS p_at_100 FROM z""",
+    "repair_rank": r"""WITH b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '\w+') AS t FROM benchmark WHERE len(regexp_extract_all(lower(text), '\w+')) >= 2),
+        v AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS r FROM (SELECT unnest(t) AS w FROM b) GROUP BY w),
+        k AS (SELECT id, t[len(t) // 2 + 1] AS word, t[1:len(t) // 2] || t[len(t) // 2 + 2:len(t)] AS x, len(t) // 2 AS mid FROM b),
+        q AS (SELECT k.*, r FROM k JOIN v ON v.w = k.word), o AS (SELECT id, unnest(x) AS w FROM q), bf AS (SELECT o.id, count(*) AS n FROM o JOIN v USING (w) JOIN q ON q.id = o.id WHERE v.r < q.r GROUP BY o.id),
+        p AS (SELECT id, word, x, mid, unnest(range(0, len(x) + 1)) AS p FROM q), d AS (SELECT *, p > 0 AND x[p] = word AS dup FROM p),
+        c AS (SELECT id, any_value(mid) AS mid, max(p) FILTER (WHERE NOT dup AND p <= mid) AS canon FROM d GROUP BY id), pl AS (SELECT d.id, count(*) FILTER (WHERE NOT dup AND p < canon) AS before FROM d JOIN c USING (id) GROUP BY d.id),
+        z AS (SELECT (q.r - 1) * (len(q.x) + 1) - coalesce(bf.n, 0) + pl.before AS rk FROM q LEFT JOIN bf USING (id) JOIN pl USING (id))
+        SELECT count(*) AS n, round(avg(1.0::DOUBLE / (rk + 1)), 6) AS mrr, round(avg(CASE WHEN rk < 1 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS p_at_1, round(avg(CASE WHEN rk < 10 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS p_at_10,
+          round(avg(CASE WHEN rk < 100 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS p_at_100, round(avg(CASE WHEN rk < 1000 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS p_at_1000 FROM z""",
     "link_closure": r"""WITH RECURSIVE p AS (SELECT DISTINCT regexp_extract(url, '\.([a-z]+)/', 1) AS src, regexp_extract(url, '/([a-z]{2})/', 1) AS dst FROM pages),
         e AS (SELECT * FROM p WHERE src <> '' AND dst <> '' UNION SELECT dst, src FROM p WHERE src <> '' AND dst <> ''),
         c AS (SELECT src, dst, 1 AS h FROM e UNION SELECT c.src, e.dst, h + 1 FROM c JOIN e ON c.dst = e.src WHERE h < 3)

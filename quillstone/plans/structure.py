@@ -10,23 +10,33 @@ from ..operators import projection, stats
 from ..sources.corpus import table
 
 
+def statements(spark, sf):
+    """Python statements made of the orders' columns, one of each shape, with the number of orders of the shape."""
+    o = table(spark, sf, "orders").select(F.format_string(
+        "def f_%s(key, *rest):\n    for i in range(%d):\n        total = price(key, [i, '%s']) + %s\n    return {'%s': total}\n",
+        "o_orderstatus", F.col("o_custkey") % 3, "o_orderpriority", F.when(F.col("o_totalprice") > 200000, "rest[0]").otherwise("-1"), "o_orderstatus").alias("source"))
+    return o.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 def tree_edges(spark, sf):
-    """Kinds of parent and child in the trees of the events' properties, read as Python."""
-    t = table(spark, sf, "events").select(F.explode(F.array(trees.tree_nodes(F.col("props")))).alias("t")).where("t is not null")
-    e = t.select("t", F.explode("t").alias("n")).where("n.parent >= 0").select(F.get("t", F.col("n.parent"))["kind"].alias("parent"), F.col("n.kind").alias("child"))
-    return e.groupBy("parent", "child").agg(F.count(F.lit(1)).alias("n"))
+    """Kinds of parent and child in the trees of all statements."""
+    t = statements(spark, sf).select(F.col("n").alias("times"), F.explode(F.array(trees.tree_nodes(F.col("source")))).alias("t")).where("t is not null")
+    e = t.select("times", "t", F.explode("t").alias("n")).where("n.parent >= 0").select("times", F.get("t", F.col("n.parent"))["kind"].alias("parent"), F.col("n.kind").alias("child"))
+    return e.groupBy("parent", "child").agg(F.sum("times").alias("n"))
 
 
 def tree_triples(spark, sf):
     """Kinds of a parent and two neighbouring children, which are neighbours in the node array too."""
-    t = table(spark, sf, "events").select(F.explode(F.array(trees.tree_nodes(F.col("props")))).alias("t")).where("t is not null")
-    pairs = t.select("t", F.posexplode("t").alias("i", "a")).select("t", "a", F.get("t", F.col("i") + 1).alias("b")).where("a.parent = b.parent")
-    return pairs.groupBy(F.get("t", F.col("a.parent"))["kind"].alias("head"), F.col("a.kind").alias("left"), F.col("b.kind").alias("right")).agg(F.count(F.lit(1)).alias("n"))
+    t = statements(spark, sf).select(F.col("n").alias("times"), F.explode(F.array(trees.tree_nodes(F.col("source")))).alias("t")).where("t is not null")
+    pairs = t.select("times", "t", F.posexplode("t").alias("i", "a")).select("times", "t", "a", F.get("t", F.col("i") + 1).alias("b")).where("a.parent = b.parent")
+    return pairs.groupBy(F.get("t", F.col("a.parent"))["kind"].alias("head"), F.col("a.kind").alias("left"), F.col("b.kind").alias("right")).agg(F.sum("times").alias("n"))
 
 
 def python_errors(spark, sf):
-    """Benchmark items by the error of reading them as Python; null: none."""
-    return table(spark, sf, "benchmark").groupBy(sequences.python_error(F.col("text")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    """Statements without each of their characters in turn, by the error of reading them; null: none."""
+    s = statements(spark, sf).select("n", "source", F.explode(F.sequence(F.lit(1), F.length("source"))).alias("i"))
+    cut = s.select("n", F.concat(F.substr("source", F.lit(1), F.col("i") - 1), F.substr("source", F.col("i") + 1)).alias("source"))
+    return cut.groupBy(sequences.python_error(F.col("source")).alias("error")).agg(F.sum("n").alias("n"))
 
 
 def shared_substring(spark, sf):
@@ -77,9 +87,13 @@ def frequent_productions(spark, sf):
     return n.where((F.col("n") > 10) | (F.substring_index("gram", " ", 1) == F.substring_index("gram", " ", -1)))
 
 
+#: Event types, a column each.
+EVENTS = ["click", "error", "purchase", "signup", "view"]
+
+
 def hits_by_bin(spark, sf):
-    """Share of events over 50 by user decade, one column for each of two types."""
-    e = table(spark, sf, "events").groupBy(X.bin10(F.col("user_id")).alias("bin")).pivot("event_type", ["click", "view"])
+    """Share of events over 50 by user decade, one column for each type."""
+    e = table(spark, sf, "events").groupBy(X.bin10(F.col("user_id")).alias("bin")).pivot("event_type", EVENTS)
     return e.agg(F.round(F.avg((F.col("value") > 50).cast("double")), 6))
 
 
@@ -111,6 +125,5 @@ ORACLE_SQL = {
         SELECT bucket, count(*) FILTER (WHERE r <= 50) AS val, count(*) FILTER (WHERE r > 50) AS train FROM r GROUP BY bucket""",
     "frequent_productions": r"""WITH g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM (SELECT regexp_extract_all(lower(text), '\w+') AS w FROM benchmark))
         SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) > 10 OR split_part(gram, ' ', 1) = split_part(gram, ' ', 2)""",
-    "hits_by_bin": """SELECT (user_id + 1) // 10 * 10 AS bin, round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (WHERE event_type = 'click'), 6) AS click,
-        round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (WHERE event_type = 'view'), 6) AS view FROM events GROUP BY 1""",
+    "hits_by_bin": "SELECT (user_id + 1) // 10 * 10 AS bin, " + ", ".join(f"round(avg(CASE WHEN value > 50 THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (WHERE event_type = '{t}'), 6) AS {t}" for t in EVENTS) + " FROM events GROUP BY 1",
 }

@@ -165,9 +165,11 @@ def distractors(spark, sf):
     """For each turn's first word the five rarest identifiers of the conversation that start otherwise."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     ids = c.select("conv_id", F.explode(X.identifiers(F.col("text"))).alias("id")).groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n"))
-    first = c.where("turn = 0").select("conv_id", F.get(X.words(F.col("text")), F.lit(0)).alias("truth")).where("truth is not null")
-    far = first.join(ids, "conv_id").where(F.substring("id", 1, 1) != F.substring("truth", 1, 1))
-    return stats.take_per_group(far, ["conv_id"], 5, F.asc("n"), F.asc("id")).select("conv_id", "truth", "id", "n")
+    first = c.select("conv_id", "turn", F.get(X.words(F.col("text")), F.lit(0)).alias("truth")).where("truth is not null")
+    # the five wanted are among the five rarest of each first letter, so a long conversation's words are not met by all its turns
+    letters = stats.take_per_group(ids.withColumn("letter", F.substring("id", 1, 1)), ["conv_id", "letter"], 5, F.asc("n"), F.asc("id"))
+    far = first.join(letters, "conv_id").where(F.col("letter") != F.substring("truth", 1, 1))
+    return stats.take_per_group(far, ["conv_id", "turn"], 5, F.asc("n"), F.asc("id")).select("conv_id", "turn", "truth", "id", "n")
 
 
 def href_extract(spark, sf):
@@ -265,7 +267,7 @@ ORACLE_SQL = {
     "ngram_score": f"WITH p AS (SELECT *, split_part(gram, ' ', 1) AS ctx FROM ({_GRAM2 % ('conv_id, turn, role', 'lower(text)', 'conversations')})), b AS (SELECT role, gram, ctx, count(*) AS c FROM p GROUP BY ALL), x AS (SELECT role, ctx, sum(c) AS total FROM b GROUP BY ALL) SELECT conv_id, turn, round(avg(-ln((c + 1.0::DOUBLE) / (total + 1.0::DOUBLE))), 6) AS nll FROM p JOIN b USING (role, gram, ctx) JOIN x USING (role, ctx) GROUP BY conv_id, turn",
     "cooccurrence_probability": f"WITH g AS ({_GRAM2 % ('item_id', 'lower(text)', 'benchmark')}), n AS (SELECT gram, count(*) AS n, split_part(gram, ' ', 1) AS l FROM g GROUP BY gram) SELECT gram, round(n / sum(n) OVER (PARTITION BY l), 6) AS p FROM n",
     "mask_identifiers": f"WITH c AS (SELECT item_id, text, unnest(list_distinct({_IDS})) AS id FROM benchmark), n AS (SELECT *, (length(text) - length(replace(text, id, ''))) // length(id) AS n FROM c) SELECT item_id, id, CAST(n AS BIGINT) AS n, md5(replace(text, id, '<mask>')) AS masked_md5 FROM n WHERE n >= 2",
-    "distractors": f"WITH i AS (SELECT conv_id, id, count(*) AS n FROM (SELECT conv_id, unnest({_IDS}) AS id FROM conversations) GROUP BY ALL), f AS (SELECT conv_id, ({_W % 'text'})[1] AS truth FROM conversations WHERE turn = 0) SELECT conv_id, truth, id, n FROM f JOIN i USING (conv_id) WHERE truth IS NOT NULL AND substr(id, 1, 1) <> substr(truth, 1, 1) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n, id) <= 5",
+    "distractors": f"WITH i AS (SELECT conv_id, id, count(*) AS n FROM (SELECT conv_id, unnest({_IDS}) AS id FROM conversations) GROUP BY ALL), f AS (SELECT conv_id, turn, ({_W % 'text'})[1] AS truth FROM conversations) SELECT conv_id, turn, truth, id, n FROM f JOIN i USING (conv_id) WHERE truth IS NOT NULL AND substr(id, 1, 1) <> substr(truth, 1, 1) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n, id) <= 5",
     "href_extract": "SELECT href, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY href",
     "url_mining": "SELECT split_part(host, '.', -1) AS tld, count(*) AS n, count(DISTINCT host) AS hosts FROM (SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages) GROUP BY 1",
     "dedupe_repos": "SELECT regexp_replace(regexp_replace(url, '^https?://(www\\.|m\\.|blog\\.)?', ''), '[?#].*$', '') AS key, min(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1",

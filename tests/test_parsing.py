@@ -155,3 +155,35 @@ def test_message_passing(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c")], "src string, dst string")
     got = lambda r: dict(map(tuple, graphs.message_passing(nodes, edges, r).collect()))
     assert got(0) == {"a": 1, "b": 2, "c": 4} and got(1) == {"a": 1, "b": 3, "c": 6} and got(2) == {"a": 1, "b": 4, "c": 9}
+
+
+def test_insertion_ranks_equal_enumeration(spark):
+    from quillstone.operators import edits
+
+    rnd = random.Random(9)
+    items = [(i, [rnd.choice("abcd") for _ in range(rnd.randint(2, 7))]) for i in range(40)]
+    count = {}
+    for _, t in items:
+        for w in t:
+            count[w] = count.get(w, 0) + 1
+    want = {}
+    for i, t in items:
+        at = len(t) // 2
+        left = t[:at] + t[at + 1 :]
+        seen = []
+        for v in sorted(count, key=lambda v: (-count[v], v)):
+            for p in range(len(left) + 1):
+                c = left[:p] + [v] + left[p:]
+                if c not in seen:
+                    seen.append(c)
+        want[i] = seen.index(t)
+    df = spark.createDataFrame(items, "id long, truth array<string>")
+    assert dict(map(tuple, edits.insertion_ranks(df, F.floor(F.size("truth") / 2).cast("int")).collect())) == want
+
+
+def test_evaluated_candidates(spark):
+    truth = spark.createDataFrame([(1, ["a"], ["a", "b"]), (2, ["x"], ["y"])], "id long, w array<string>, truth array<string>")
+    scored = spark.createDataFrame([(1, ["a", "c"], 1, 0.5), (1, ["a", "b"], 1, 0.7), (2, ["z"], 1, 0.1)], "id long, candidate array<string>, edits int, score double")
+    got = {r["dist"]: (r["pos"], r["high"], r["neg"]) for r in pairs.evaluated(truth, scored, 2).collect()}
+    assert got == {1: (1, 0, 1)}
+    assert [tuple(r)[2:5] for r in pairs.evaluated(truth, scored, 1).collect()] == [(0, 1, 1)]
