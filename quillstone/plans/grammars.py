@@ -136,8 +136,8 @@ ORACLE_SQL = {
     "role_scores": f"""WITH t AS (SELECT conv_id, ['<begin>'] || list(role ORDER BY turn) || ['<end>'] AS p FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, p, unnest(range(1, len(p))) AS i FROM t),
         c AS (SELECT * FROM (VALUES {_COSTS}) v(a, b, cost)) SELECT conv_id, round(sum(cost), 6) AS score FROM s JOIN c ON c.a = p[i] AND c.b = p[i + 1] GROUP BY conv_id""",
     "repair_precision": REPAIR_SQL["repair_rank"].split("SELECT count(*) AS n, round")[0].replace(" AS rk FROM q", " AS rk, len(q.x) // 10 AS tens FROM q") + """,
-        o AS (SELECT tens, count(*) FILTER (WHERE rk < 1000) AS pos, count(*) FILTER (WHERE rk >= 1000) AS high, 0 AS neg FROM z GROUP BY tens)
-        SELECT *, round(pos / (pos + high + neg + 1), 6) AS precision FROM o""",
+        cnt AS (SELECT tens, count(*) FILTER (WHERE rk < 1000) AS pos, count(*) FILTER (WHERE rk >= 1000) AS high, 0 AS neg FROM z GROUP BY tens)
+        SELECT *, round(pos / (pos + high + neg + 1), 6) AS precision FROM cnt""",
     "choices": r"""WITH t AS (SELECT conv_id || ':' || turn AS id, role, regexp_extract_all(lower(text), '\w+') AS w FROM conversations), i AS (SELECT * FROM t WHERE len(w) > 0),
         n AS (SELECT role, word, count(*) AS n FROM (SELECT role, unnest(w) AS word FROM i) GROUP BY ALL), c AS (SELECT role, word FROM n QUALIFY row_number() OVER (PARTITION BY role ORDER BY n DESC, word) <= 4),
         x AS (SELECT id, w[1] AS c, true AS own FROM i UNION ALL SELECT id, word, false FROM i JOIN c USING (role)), d AS (SELECT id, c, bool_or(own) AS own FROM x GROUP BY ALL),
