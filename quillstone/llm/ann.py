@@ -35,7 +35,7 @@ SAMPLE = 20_000
 PARTS = 16
 PROBED = 0.6
 RERANK = 96
-SHARD = 8192
+SHARD = 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
@@ -106,16 +106,18 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, probed: float = PROB
 
 
 def _shards(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, int]:
-    """First shard and number of shards of each list: small lists share one, a large list takes several."""
+    """First shard and number of shards of each list: small lists share one, a large list takes several; all about equally full."""
+    total = sum(counts.values())
+    most = -(-total // -(-total // SHARD))
     first, pieces = np.zeros(max(counts) + 1, np.int32), np.zeros(max(counts) + 1, np.int32)
     shards = filled = 0
     for lst in sorted(counts):
         n = counts[lst]
-        if filled and filled + n > SHARD:
+        if filled and filled + n > 1.1 * most:
             shards, filled = shards + 1, 0
         first[lst] = shards
-        pieces[lst] = max(1, -(-n // SHARD))
-        if n > SHARD:
+        pieces[lst] = max(1, -(-n // most))
+        if n > most:
             shards += int(pieces[lst])
         else:
             filled += n
@@ -193,7 +195,7 @@ def _search(own: DataFrame, asked: DataFrame, size: int, count: int, k: int, pro
                     for at in range(0, len(t), 128):
                         yield ready.answer(t.slice(at, 128), index.value, probed, rerank, k + 1)
 
-    work = placed.unionByName(sent).repartition(shards, "shard").sortWithinPartitions("shard", "asks")
+    work = placed.unionByName(sent).repartitionById(shards, "shard").sortWithinPartitions("shard", "asks")
     found = work.mapInArrow(scan, "q long, vec_id long, score double")
     order = [F.desc("score"), F.asc("vec_id")]
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("nth") <= k + 1).drop("nth")
