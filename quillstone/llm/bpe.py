@@ -37,7 +37,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import shuffle_partitions, table
+from .common import shuffle_partitions, strings, table
 
 #: Fixed value: the vocabulary's split pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -169,7 +169,7 @@ def _splitter(parts: int, special: tuple[str, ...]):
 
         fresh()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text"))):
                 text = text or ""
                 if state["size"] and state["size"] + len(text) > BLOCK:
                     yield from flush()

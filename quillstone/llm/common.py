@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.lineage import cut as checkpointed
 from ..operators.lineage import shared_folder
 
-__all__ = ["NO_ID", "WHITE", "WORD", "checkpointed", "runs", "shared_folder", "shuffle_partitions", "stored", "table", "word_count"]
+__all__ = ["NO_ID", "WHITE", "WORD", "checkpointed", "runs", "shared_folder", "shuffle_partitions", "stored", "strings", "table", "word_count"]
 
 #: Words are maximal runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +43,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def strings(column: pa.Array) -> Iterator[str | None]:
+    """Python strings of a column, some rows at a time: a batch's texts are never held twice."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Sorted rows as tables of whole runs of equal keys, with the runs' starts and ends; memory holds a batch and one run."""
     held: list[pa.RecordBatch] = []  # the last run so far

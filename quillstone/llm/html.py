@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import strings, table
 
 # Element names of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -206,7 +206,7 @@ def main_text(page: str | None) -> str:
 
 
 def _batch(page: pa.Array) -> pa.Array:
-    return pa.array([main_text(p) for p in page.to_pylist()], pa.string())
+    return pa.array([main_text(p) for p in strings(page)], pa.string())
 
 
 def extract(html: Column) -> Column:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, checkpointed, shuffle_partitions, table
+from .common import NO_ID, checkpointed, shuffle_partitions, strings, table
 from .graph import connected_components
 
 SEED = 42
@@ -46,7 +46,7 @@ def simhash64(text: str | None, shingle: int = 3) -> int:
 
 
 def _simhash_batch(text: pa.Array) -> pa.Array:
-    values = np.fromiter((simhash64(t) for t in text.to_pylist()), np.uint64, len(text))
+    values = np.fromiter(map(simhash64, strings(text)), np.uint64, len(text))
     return pa.array(values.view(np.int64))
 
 
