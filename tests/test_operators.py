@@ -146,9 +146,9 @@ def test_whole_neighbour_graph_matches_brute_force(spark):
         d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
         near = [j for j in np.lexsort((ids, d)) if j != i][:5]
         edges |= {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in near}
-    assert {(r["u"], r["v"]) for r in search.knn_graph_edges_whole(spark, sf).collect()} == edges
+    assert {(r["u"], r["v"]) for r in search.knn_graph_edges(spark, sf).collect()} == edges
     level, front = {0: 0}, {0}
     for step in (1, 2, 3):
         front = {b if a in front else a for a, b in edges if (a in front) != (b in front)} - set(level)
         level |= dict.fromkeys(front, step)
-    assert {r["node"]: r["level"] for r in evaluation.knn_bfs_whole(spark, sf).collect()} == level
+    assert {r["node"]: r["level"] for r in evaluation.knn_bfs(spark, sf).collect()} == level
