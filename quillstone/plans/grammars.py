@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import rewrites as R, sequences, text as X, trees
-from ..operators import edits, graphs, pairs, parsing, ranking
+from ..operators import edits, experiments, graphs, pairs, parsing, ranking
+from ..operators.automata import grammar_distance
 from ..operators.stats import take_per_group
 from ..sources.corpus import table, with_tokens
 from .evaluation import DIALOGUE, _roles
@@ -63,6 +64,19 @@ def dialogue_holes(spark, sf):
     return _roles(spark, sf).select("conv_id", F.size(parsing.holes_filled(holes, DIALOGUE)).alias("fillings"))
 
 
+def dialogue_languages(spark, sf):
+    """Dialogues within the distance of each conversation's roles and one more."""
+    d = experiments.language_sizes(F.col("roles"), DIALOGUE)
+    r = _roles(spark, sf).groupBy("roles").agg(F.count(F.lit(1)).alias("n"))  # each sequence of roles once
+    return r.select("n", F.explode(F.array(d)).alias("d")).groupBy("d.length", "d.distance", "d.size").agg(F.sum("n").alias("n"))
+
+
+def restored_dialogues(spark, sf):
+    """Dialogues corrupted out of the language and repaired: how many edits the repair takes, and whether it restores them."""
+    fine = _roles(spark, sf).where(grammar_distance(F.col("roles"), DIALOGUE) == 0)
+    return experiments.corrected(fine, "conv_id", "roles", DIALOGUE, parsing.Bigrams.learnt(DIALOGUES)).groupBy("edits", "restored").agg(F.count(F.lit(1)).alias("n"))
+
+
 def tree_paths(spark, sf):
     """Paths between the leaves of Python statements made of each order's columns, by their kinds."""
     o = table(spark, sf, "orders").select(F.format_string("%s = price(%d, %.2f) if key > %d else [%d]", F.concat(F.lit("status_"), "o_orderstatus"), F.col("o_custkey"), "o_totalprice", "o_orderkey", F.col("o_custkey")).alias("source"))
@@ -126,7 +140,7 @@ def choices(spark, sf):
 _LANG = """p AS (SELECT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, 'lang:' || regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang FROM pages)"""
 _ROUND = "r%d AS (SELECT n.node, n.x + coalesce((SELECT sum(m.x) FROM e JOIN r%d m ON m.node = e.src WHERE e.dst = n.node), 0) AS x FROM r%d n)"
 QUERIES = {f.__name__: f for f in (
-    host_links, dialogue_symbols, dialogue_scores, role_scores, dialogue_fixes, dialogue_holes, tree_paths, prompt_validity, corrupted_items, corruption_codes, preprocessed_turns, token_gains, repair_precision, choices)}
+    host_links, dialogue_symbols, dialogue_scores, role_scores, dialogue_fixes, dialogue_holes, dialogue_languages, restored_dialogues, tree_paths, prompt_validity, corrupted_items, corruption_codes, preprocessed_turns, token_gains, repair_precision, choices)}
 _MODEL = parsing.Bigrams.learnt(DIALOGUES)
 _COSTS = ", ".join(f"('{a}', '{b}', {_MODEL.cost(a, b)!r}::DOUBLE)" for a in ("<begin>", "user", "assistant", "system") for b in ("user", "assistant", "system", "<end>"))
 ORACLE_SQL = {

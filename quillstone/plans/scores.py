@@ -49,6 +49,12 @@ def attempt_averages(spark, sf):
     return ranking.attempt_averages(trials(spark, sf), 10_000, "dist")
 
 
+def timeouts_by_patch(spark, sf):
+    """Trials beyond ten seconds by distance and tens of tokens, with their shares."""
+    late = (F.col("ms") >= 10_000).cast("double")
+    return trials(spark, sf).groupBy("dist", F.floor(F.col("length") / 10).alias("tens")).agg(F.count(F.lit(1)).alias("n"), F.sum(late).cast("long").alias("late"), F.round(F.avg(late), 6).alias("share"))
+
+
 def running_error(spark, sf):
     """Running mean of the absolute difference of predicted and true distance over the events of a type."""
     e = table(spark, sf, "events").select("event_id", "event_type", F.abs(F.col("user_id") % 7 - F.col("event_id") % 5).alias("error"))
@@ -141,7 +147,7 @@ _T = """t AS (SELECT l_orderkey AS sample, CAST(l_quantity AS BIGINT) AS length,
 _SUM = "CAST(coalesce(sum(CASE WHEN %s THEN 1 ELSE 0 END), 0) AS BIGINT)"
 _VIS = "regexp_replace(text, '[^!-~]', '', 'g')"
 QUERIES = {f.__name__: f for f in (
-    precision_by_length_distance, precision_by_time, timed_rank_statistics, density_by_length, outcome_counters, attempt_averages, running_error, precision_rollup, model_validity, score_table,
+    precision_by_length_distance, precision_by_time, timed_rank_statistics, density_by_length, outcome_counters, attempt_averages, timeouts_by_patch, running_error, precision_rollup, model_validity, score_table,
     edit_blankets, multimask_accuracy, first_words_completed, largest_component, distance_agreement, character_distances, vector_shift, side_by_side)}
 ORACLE_SQL = {
     "precision_by_length_distance": f"""WITH {_T}, c AS (SELECT length // 10 AS tens, dist, {_SUM % 'rank0 >= 0 AND rank0 < 20'} AS pos, {_SUM % 'rank0 >= 20'} AS high, {_SUM % 'rank0 < 0'} AS neg FROM t GROUP BY 1, 2)
@@ -161,6 +167,7 @@ ORACLE_SQL = {
     "outcome_counters": f"WITH {_T} SELECT length // 10 AS tens, dist, {_SUM % 'rank0 = 0'} AS top1, {_SUM % 'rank0 >= 0'} AS recall, {_SUM % 'rank0 >= 0 AND NOT failed'} AS pos, count(*) AS total, {_SUM % 'failed'} AS errors FROM t GROUP BY 1, 2",
     "attempt_averages": f"""WITH {_T} SELECT dist, count(*) FILTER (WHERE rank0 >= 0 AND ms < 10000) AS succeeded, round(avg(ms) FILTER (WHERE rank0 >= 0 AND ms < 10000), 6) AS ms, round(avg(rank0) FILTER (WHERE rank0 >= 0 AND ms < 10000), 6) AS rank,
         round(avg(length * 1000.0::DOUBLE / (ms + 1)) FILTER (WHERE rank0 >= 0 AND ms < 10000), 6) AS throughput, count(*) FILTER (WHERE ms >= 10000) AS expired, round(avg(ms) FILTER (WHERE ms >= 10000), 6) AS expired_ms FROM t GROUP BY dist""",
+    "timeouts_by_patch": f"WITH {_T} SELECT dist, length // 10 AS tens, count(*) AS n, count(*) FILTER (WHERE ms >= 10000) AS late, round(avg(CASE WHEN ms >= 10000 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS share FROM t GROUP BY 1, 2",
     "running_error": "SELECT event_id, event_type, round(avg(abs(user_id % 7 - event_id % 5)) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS mean FROM events",
     "precision_rollup": f"""WITH {_T} SELECT model, dist, grouping_id(model, dist) AS level, round(avg(CAST(NOT failed AS DOUBLE)), 6) AS valid, round(avg(CAST(rank0 >= 0 AS DOUBLE)), 6) AS right,
         round(avg(CAST(rank0 = 0 AS DOUBLE)), 6) AS first, round(avg(CAST(ms AS DOUBLE)), 6) AS ms FROM t GROUP BY ROLLUP (model, dist)""",
