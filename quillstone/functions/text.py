@@ -171,6 +171,12 @@ def ngrams(tokens: Column, n: int) -> Column:
     return grams
 
 
+def bigrams(tokens: Column) -> Column:
+    """A generator of (a, b): neighbouring tokens as columns, without a lambda."""
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.inline(F.arrays_zip(F.slice(tokens, F.lit(1), n).alias("a"), F.slice(tokens, F.lit(2), n).alias("b"))).alias("a", "b")
+
+
 def overlapping_chunks(tokens: Column, width: int = 760, hop: int = 380) -> Column:
     starts = F.when(F.size(tokens) >= width, F.sequence(F.lit(1), F.size(tokens) - width + 1, F.lit(hop))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.slice(tokens, i, width))

@@ -36,8 +36,11 @@ def token_freq(spark, sf):
 
 
 def bigram_freq(spark, sf):
-    grams = with_tokens(_docs(spark, sf), X.words(F.col("text"))).select(F.explode(X.ngrams(F.col("w"), 2)).alias("gram"))
-    return stats.relative_frequency(grams, "gram", 6).orderBy(F.desc("n"), "gram").limit(100)
+    grams = with_tokens(_docs(spark, sf), X.words(F.col("text"))).select(X.bigrams(F.col("w")))
+    n = grams.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))  # strings are built for distinct pairs only
+    total = n.agg(F.sum("n").alias("total"))
+    freq = n.crossJoin(F.broadcast(total)).select(F.concat_ws(" ", "a", "b").alias("gram"), "n", F.round(F.col("n") / F.col("total"), 6).alias("freq"))  # one row
+    return freq.orderBy(F.desc("n"), "gram").limit(100)
 
 
 def length_cdf(spark, sf):
@@ -55,9 +58,9 @@ def bin10_counts(spark, sf):
 
 
 def rouge_recall(spark, sf):
-    """The three documents of highest recall of each item's words, at half of them or more.
+    """The three documents of highest recall of each item's words, at four fifths of them or more.
 
-    A document with half of an item's n words holds one of the item's n - ceil(n / 2) + 1 rarest (prefix filter), so only
+    A document with four fifths of an item's n words holds one of the item's n - ceil(4 n / 5) + 1 rarest (prefix filter), so only
     those make candidates, and only candidates are compared in full."""
     b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(X.words(F.lower("text"))).alias("w")).where(F.size("w") > 0)
     d = _docs(spark, sf).select("doc_id", F.array_distinct(X.words(F.lower("text"))).alias("dw"))
@@ -65,10 +68,10 @@ def rouge_recall(spark, sf):
     each = d.select("doc_id", F.explode("dw").alias("token")).join(item.select("token").distinct(), "token", "left_semi")
     seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     nth = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "token"))
-    rare = item.join(seen, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("nth", nth).where(F.col("nth") <= F.col("size") - F.ceil(F.col("size") / 2) + 1)
+    rare = item.join(seen, "token", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("nth", nth).where(F.col("nth") <= F.col("size") - F.ceil(F.col("size") * 4 / 5) + 1)
     able = each.join(rare.select("token", "item_id"), "token").select("doc_id", "item_id").distinct()
     full = able.join(d, "doc_id").join(b, "item_id").select("item_id", "doc_id", F.round(F.size(F.array_intersect("w", "dw")) / F.size("w"), 6).alias("recall"))
-    return stats.take_per_group(full.where("recall >= 0.5"), ["item_id"], 3, F.desc("recall"), F.asc("doc_id"))
+    return stats.take_per_group(full.where("recall >= 0.8"), ["item_id"], 3, F.desc("recall"), F.asc("doc_id"))
 
 
 def bracket_balance(spark, sf):
@@ -248,7 +251,7 @@ ORACLE_SQL = {
     "length_cdf": f"WITH c AS (SELECT len({_W % 'text'}) // 10 * 10 AS bucket, count(*) AS n FROM documents GROUP BY 1) SELECT bucket, n, round(sum(n) OVER (ORDER BY bucket) / sum(n) OVER (), 6) AS cdf FROM c",
     "length_buckets": f"WITH c AS (SELECT least(len({_W % 'text'}) // 10 * 10, 100) AS bucket, count(*) AS n FROM documents GROUP BY 1) SELECT bucket, n, round(sum(n) OVER (ORDER BY bucket) / sum(n) OVER (), 6) AS cdf FROM c",
     "bin10_counts": f"SELECT (len({_W % 'text'}) + 1) // 10 * 10 AS bin, count(*) AS n FROM documents GROUP BY 1",
-    "rouge_recall": f"WITH b AS (SELECT item_id, list_distinct({_W % 'lower(text)'}) AS w FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct({_W % 'lower(text)'})) AS token FROM documents), u AS (SELECT item_id, unnest(w) AS token FROM b), s AS (SELECT doc_id, item_id, count(*) AS n FROM d JOIN u USING (token) GROUP BY ALL), f AS (SELECT item_id, doc_id, round(n / len(w)::DOUBLE, 6) AS recall FROM s JOIN b USING (item_id)) SELECT * FROM f WHERE recall >= 0.5 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY recall DESC, doc_id) <= 3",
+    "rouge_recall": f"WITH b AS (SELECT item_id, list_distinct({_W % 'lower(text)'}) AS w FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct({_W % 'lower(text)'})) AS token FROM documents), u AS (SELECT item_id, unnest(w) AS token FROM b), s AS (SELECT doc_id, item_id, count(*) AS n FROM d JOIN u USING (token) GROUP BY ALL), f AS (SELECT item_id, doc_id, round(n / len(w)::DOUBLE, 6) AS recall FROM s JOIN b USING (item_id)) SELECT * FROM f WHERE recall >= 0.8 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY recall DESC, doc_id) <= 3",
     "bracket_balance": f"SELECT page_id, CAST({_BAL} AS BIGINT) AS balance, CAST(length(html) - length(replace(html, '<', '')) AS BIGINT) AS tags FROM pages",
     "approx_cyclomatic": "SELECT page_id, len(list_filter(regexp_extract_all(html, '(?s)\\w+|\\W'), lambda t: t IN (" + ", ".join(f"'{w}'" for w in X.CONTROL + X.BRACKETS) + "))) AS complexity FROM pages",
     "comment_lines": f"SELECT conv_id, turn, len(list_filter(string_split(text, chr(10)), lambda x: {_EMPTY})) AS n FROM conversations",
