@@ -87,6 +87,19 @@ def test_ball_links_every_pair_within_two_bits(spark, flips):
     assert {r["component_id"] for r in got} == {3} and len(got) == 2
 
 
+def test_ball_links_at_a_wider_radius(spark):
+    rnd = random.Random(8)
+    a = rnd.getrandbits(63)
+    flip = lambda x, n: x ^ sum(1 << b for b in rnd.sample(range(63), n))
+    fps = [a, flip(a, 3), flip(a, 4), flip(a, 9)] + [rnd.getrandbits(63) for _ in range(20)]
+    n = range(len(fps))
+    root = components(n, [(i, j) for i in n for j in n if i < j and bin(fps[i] ^ fps[j]).count("1") <= 4])
+    got = {r["fp"]: r["component_id"] for r in simhash.fingerprint_groups(spark.createDataFrame(list(enumerate(fps)), "doc_id long, fp long"), 4).collect()}
+    assert [got[f] for f in fps] == [min(j for j in n if root[j] == root[i]) for i in n]
+    with pytest.raises(ValueError):
+        simhash.fingerprint_groups(spark.createDataFrame([(1, 1)], "doc_id long, fp long"), 3)
+
+
 def template_keys(line):
     own = re.findall(r"[^ \t-\r]+", line)
     tk = ["<*>" if re.search("[0-9]", t) else t for t in own]
