@@ -12,12 +12,22 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .coding import python_token_id
 from .text import RESERVED
 
 # Comments, strings, numbers, names, white space, then operators of one character.
 LEXEME = r"""//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[0-9]+(?:\.[0-9]+)?|[A-Za-z_$][A-Za-z0-9_$]*|[ \t\r\n]+|(?s:.)"""
 
 
+# The same for Kotlin: raw strings, backticked names, labels.
+KOTLIN_LEXEME = r"""//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|"{3}(?s:.*?)"{3}|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]+`|[0-9]+(?:\.[0-9]+)?[fFLuU]*|@?[A-Za-z_][A-Za-z0-9_]*@?|[ \t\r\n]+|(?s:.)"""
+
+
+def kotlin_lexemes(text: Column) -> Column:
+    """Lexemes of Kotlin source; together they are the text."""
+    return F.regexp_extract_all(text, F.lit(KOTLIN_LEXEME), 0)
+
+
 def lexemes(text: Column) -> Column:
     """Lexemes of Java-like source; together they are the text."""
     return F.regexp_extract_all(text, F.lit(LEXEME), 0)
@@ -79,6 +89,11 @@ def python_kinds(tokens: Column) -> Column:
     return F.transform(kept, lambda t: F.when((t["kind"] == "OP") | (t["kind"] == "NAME") & F.array_contains(reserved, t["text"]), t["text"]).otherwise(t["kind"]))
 
 
+def python_type_ids(tokens: Column) -> Column:
+    """The tokenizer module's numbers of the tokens' kinds."""
+    return F.transform(tokens, lambda t: python_token_id(t["kind"]))
+
+
 def rendered_python(kinds: Column) -> Column:
     """Source for a sequence of kinds: fresh names, numbers and strings; indents and line ends where the kinds say so."""
     def render(kinds: list[str]) -> str:

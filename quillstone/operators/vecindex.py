@@ -96,11 +96,21 @@ def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
 
 
-def neighbourhood_rank(neighbours: DataFrame, top: int = 20) -> DataFrame:
-    """Queries by the sum of their neighbours' distances."""
+def neighbourhood_rank(neighbours: DataFrame, top: int = 20, left_out: DataFrame | None = None) -> DataFrame:
+    """Queries by the sum of their neighbours' distances, without those of ``left_out(query_id)``."""
+    if left_out is not None:
+        neighbours = neighbours.join(left_out.select("query_id").distinct(), "query_id", "left_anti")
     return neighbours.groupBy("query_id").agg(F.round(F.sum("dist"), 6).alias("total")).orderBy("total", "query_id").limit(top)
 
 
+def distinct_texts(neighbours: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``neighbours(query_id, vec_id, dist)``, ``texts(vec_id, text)`` -> the k nearest of different texts, each by its nearest vector."""
+    order = [F.asc("dist"), F.asc("vec_id")]
+    named = neighbours.select("query_id", "vec_id", "dist").join(texts.select("vec_id", "text"), "vec_id")
+    first = named.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "text").orderBy(*order))).where("nth = 1").drop("nth")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+
+
 def breadth_first(edges: DataFrame, seed: int, depth: int) -> DataFrame:
     """(node, level) reached from the seed over directed (u, v) edges in up to depth levels."""
     spark = edges.sparkSession

@@ -123,3 +123,22 @@ def test_texts_by_scheme(spark, tmp_path):
     assert corpus.files(spark, str(tmp_path / "r"), ("py", "kt"), archives=True).count() == 2
     codes = spark.createDataFrame([("ab", "c")], "q string, d string").select(corpus.query_with_document(F.col("q"), F.col("d"), 6)).first()[0]
     assert codes == [97, 98, 124, 99, 0, 0]
+
+
+def test_kotlin_lexemes_and_type_ids(spark):
+    import token
+
+    source = 'val `a b` = """x\n"y" """ + 1.5f // c\nloop@ for (i in 0..2) {}'
+    got = one(spark, source, L.kotlin_lexemes)
+    assert "".join(got) == source and [t for t in got if not t.isspace()][:6] == ["val", "`a b`", "=", '"""x\n"y" """', "+", "1.5f"] and "loop@" in got
+    assert one(spark, "x = 1", lambda t: L.python_type_ids(L.python_tokens(t)))[:3] == [token.NAME, token.OP, token.NUMBER]
+
+
+def test_reports(spark):
+    from quillstone.operators import reports
+
+    df = spark.createDataFrame([("a_b", 0.5, None), ("c&d", 1.0, 2)], "model string, s double, n int")
+    lines = reports.latex_table(df.orderBy("model")).split("\n")
+    assert lines[0] == r"\begin{tabular}{lrr}" and lines[3] == r"a\_b & 0.500 & -- \\" and lines[4] == r"c\&d & 1.000 & 2 \\"
+    scores = spark.createDataFrame([("m", 1), ("m", 1), ("m", 2)], "model string, s int")
+    assert [r["json"] for r in reports.distributions_json(scores, "s", "model").collect()] == ['{"1":2,"2":1}']
