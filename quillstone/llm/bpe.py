@@ -27,6 +27,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import shuffle_partitions, strings, table
+from .common import shuffle_partitions, strings, table, tidy
 
 #: Fixed value: the vocabulary's split pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -47,7 +48,7 @@ _L, _S = "A-Za-zÀ-ÖØ-öø-ɏ", "\t-\r "
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^{_S}0-9{_L}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile(f"[^\x00-\x7f{_L[6:]}]")
 #: Text of a block, in characters.
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 BLOCK_KEY = 1 << 40
 PART_BYTES = 32_000_000
 
@@ -164,8 +165,11 @@ def _splitter(parts: int, special: tuple[str, ...]):
             dealt_to = _pack(np.array([r[2] for r in rows], np.int32), digests)
             rows.append((BLOCK_KEY + block, block, -1, dealt_to, _pack(ids, has, sizes), _pack(seq)))
             cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+            del rows, cols, dealt, place, seq
             fresh()
+            yield batch
+            tidy()
 
         fresh()
         for batch in batches:
@@ -189,17 +193,25 @@ def _splitter(parts: int, special: tuple[str, ...]):
 def _encoder(path: str):
     def run(group: pa.Table) -> pa.Table:
         asks = [(r["src"], r["part"], _digest(r["words"]), _unpack_words(r["words"])) for r in group.select(["src", "part", "words"]).to_pylist() if r["part"] >= 0]
-        distinct = list({w for *_, words in asks for w in words})
-        ids: dict[bytes, list[int]] = {}
-        for i in range(0, len(distinct), 10_000):
-            some = distinct[i : i + 10_000]
-            got = tokenizer(path).encode_batch([w.decode() for w in some], add_special_tokens=False)
-            ids.update(zip(some, (e.ids for e in got)))
+        place: dict[bytes, int] = {}
+        for *_, words in asks:
+            for w in words:
+                place.setdefault(w, len(place))
+        distinct, sizes, flats = list(place), [], []
+        for i in range(0, len(distinct), 2_000):
+            got = [e.ids for e in tokenizer(path).encode_batch([w.decode() for w in distinct[i : i + 2_000]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flats.append(np.fromiter(chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        size, flat = (np.concatenate([np.empty(0, k), *v]) for k, v in ((np.int64, sizes), (np.uint32, flats)))
+        start = np.cumsum(size) - size
         rows = []
         for block, part, digest, words in asks:
-            own = [ids[w] for w in words]
-            flat = np.array([i for x in own for i in x], np.uint32)
-            rows.append((BLOCK_KEY + block, block, part, _pack(np.array([digest], np.uint64)), _pack(np.array([len(x) for x in own], np.uint32), flat), None))
+            own = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            n = size[own]
+            ids = flat[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            rows.append((BLOCK_KEY + block, block, part, _pack(np.array([digest], np.uint64)), _pack(n.astype(np.uint32), ids), None))
+        del asks, place, distinct, flat
+        tidy()
         cols = list(zip(*rows)) if rows else [[] for _ in _ARROW]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
@@ -242,6 +254,7 @@ def _joiner(path: str, keep_ids: bool):
                             decoded = str(raw, "utf-8", "replace")
                         row = (int(ids[i]) if has[i] else None, int(tokens[i - a]), hashlib.sha256(text).hexdigest(), hashlib.sha256(raw if decoded is None else decoded.encode()).hexdigest())
                         rows.append((*row, [int(x) for x in str(text, "utf-8").split(",")] if text.size else [], decoded or str(raw, "utf-8", "replace")) if keep_ids else row)
+        tidy()
         cols = list(zip(*rows)) if rows else [[] for _ in schema]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 

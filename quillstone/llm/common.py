@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.lineage import cut as checkpointed
 from ..operators.lineage import shared_folder
 
-__all__ = ["NO_ID", "WHITE", "WORD", "checkpointed", "runs", "shared_folder", "shuffle_partitions", "stored", "strings", "table", "word_count"]
+__all__ = ["NO_ID", "WHITE", "WORD", "checkpointed", "runs", "shared_folder", "shuffle_partitions", "stored", "strings", "table", "tidy", "word_count"]
 
 #: Words are maximal runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +44,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a Python worker outlives its tasks, beside others on its machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: nothing to give back
+
+
 def strings(column: pa.Array) -> Iterator[str | None]:
     """Python strings of a column, some rows at a time: a batch's texts are never held twice."""
     for at in range(0, len(column), 256):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, checkpointed, shuffle_partitions, strings, table
+from .common import NO_ID, checkpointed, shuffle_partitions, strings, table, tidy
 from .graph import connected_components
 
 SEED = 42
@@ -52,6 +52,7 @@ def simhash64(text: str | None, shingle: int = SHINGLE) -> int:
 def simhash(text: Column, shingle: int = SHINGLE) -> Column:
     def batch(text: pa.Array) -> pa.Array:
         values = np.fromiter((simhash64(t, shingle) for t in strings(text)), np.uint64, len(text))
+        tidy()
         return pa.array(values.view(np.int64))
 
     return F.arrow_udf(batch, "long")(text)
