@@ -89,6 +89,59 @@ def test_training_rows_are_bounded(spark, monkeypatch):
     assert all(len(f) <= toxicity.MAX_FEATURES for _, f, _ in bags)
 
 
+def long_rows(n=24):
+    """Texts beyond a training block; of every third one sentence offends, of a sixth the first sentence is beyond a block."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    rows = [(1000, "", 0), (1001, " \n", 0), (1002, "plonk", 1), (1003, None, 0)]
+    for i in range(n):
+        lines = [" ".join(word() for _ in range(8)) for _ in range(1200)]
+        if i % 6 == 1:
+            lines[0] = " ".join(word() for _ in range(8000))
+        if i % 3 == 0:
+            lines[rnd.randrange(1200)] += " zorgface"
+        rows.append((i, ". ".join(lines), int(i % 3 == 0)))
+    return rows
+
+
+def plain_bag(text):
+    own = [[x for w in set(toxicity._WORD.findall(s.lower())) for x in toxicity.features(w)] for s in toxicity.sentences(text)]
+    return np.array([x for f in own for x in f], np.int32), np.array([len(f) for f in own], np.int32)
+
+
+def test_long_texts_train_whole(spark, monkeypatch):
+    """Every sentence and word of a long text is learnt from, whoever sums the gradient."""
+    rows = long_rows()
+    bags = {i: (y, *plain_bag(text)) for i, text, y in rows}
+    assert sum(len(f) > toxicity.MAX_FEATURES for _, f, _ in bags.values()) >= 24
+    for i, text, _ in rows:
+        f, sizes = toxicity.bag(text)
+        assert sorted(f) == sorted(bags[i][1].tolist()) and sizes == bags[i][2].tolist()
+    docs = spark.createDataFrame([(i, text, "en", "s") for i, text, _ in rows], DOCS).repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    bags = [b for i, b in bags.items() if zlib.crc32(str(i).encode()) % 5]
+    want = toxicity.fit_bags(bags, steps=12)
+    here, there = toxicity.fit_bags, toxicity.fit_blocks
+    used = []
+    monkeypatch.setattr(toxicity, "fit_bags", lambda bags: used.append("here") or here(bags, steps=12))
+    monkeypatch.setattr(toxicity, "fit_blocks", lambda *a: used.append("there") or there(*a, steps=12))
+    for bound in (toxicity.LOCAL_FEATURES, 1000):
+        monkeypatch.setattr(toxicity, "LOCAL_FEATURES", bound)
+        got = toxicity.train(docs, labels)
+        assert got.bias == pytest.approx(want.bias, abs=1e-6) and got.weights == pytest.approx(want.weights, abs=1e-4)
+    assert used == ["here", "there"] and np.count_nonzero(want.weights) > 100
+
+
+def test_slope_of_blocks_equals_that_of_whole_texts():
+    rows = long_rows(6)
+    rng = np.random.default_rng(4)
+    w, bias, cost = rng.standard_normal(toxicity.SPACE) * 0.3, -4.0, np.array([0.2, 0.5])
+    cut = [(y, last, np.array(f, np.int64), np.array(n, np.int64)) for _, text, y in rows for last, f, n in toxicity.blocks(text)]
+    assert len(cut) > len(rows) + 6
+    y, *packed = toxicity._packed([(y, *plain_bag(text)) for _, text, y in rows])
+    assert toxicity._slope(iter(cut), w, bias, cost) == pytest.approx(toxicity.loss_and_gradient(w, bias, y, cost[y], *packed)[1], abs=1e-8)
+
+
 def test_without_both_classes_every_score_is_zero(spark):
     docs = spark.createDataFrame([(1, "a. b", "", ""), (2, None, "", "")], DOCS)
     for labels in ([], [(1, 1)], [(1, 0), (1, 1)], [(None, 1), (2, None)]):
