@@ -44,6 +44,23 @@ def test_ann_recall_and_exact_scores(spark):
     assert copies == [200, 201, 202, 203, 204]  # ties to the smaller id
 
 
+def test_ann_misses_no_neighbour(spark, monkeypatch):
+    """Random directions, a tight bunch with an offset and repeated rows, most of them outside the sample: the five truly nearest of every query."""
+    monkeypatch.setattr(ann, "SAMPLE", 200)
+    monkeypatch.setattr(ann, "SHARD", 256)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 48))
+    x[600:] = x[0] + 1e-3 * rng.normal(size=(600, 48))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:30] * 3, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 10 = 0")).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, len(x), 10):
+        s = u @ u[q]
+        s[q] = -2
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == np.argsort(-s)[:5].tolist()
+
+
 def test_caps_equal_brute_force(spark):
     rows = vectors()
     got = {}
