@@ -15,20 +15,88 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def knn(rows: DataFrame, queries: DataFrame, k: int, block: int = 8192, keep_equal: bool = False) -> DataFrame:
+#: Rows of a block that meet 256 queries at once.
+SLAB = 2048
+#: Pairs whose exact distances are worked out at once.
+PAIRS = 1 << 16
+
+
+def _blocks(rows: DataFrame, queries: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with (rb, qb) once for each block of queries, queries once for each block of rows; blocks are smaller where tasks would be too few."""
+    n, m = rows.count(), queries.count()
+    nr, nq = (max(1, -(-c // block)) for c in (n, m))
+    while nr * nq < 2 * rows.sparkSession.sparkContext.defaultParallelism and max(n / nr, m / nq) > SLAB:
+        nr, nq = (2 * nr, nq) if n / nr >= m / nq else (nr, 2 * nq)
+    own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    r = rows.select("*", own("vec_id", nr).alias("rb")).select("*", every(nq).alias("qb"))
+    q = queries.withColumnRenamed("vec_id", "query_id").select("*", own("query_id", nq).alias("qb")).select("*", every(nr).alias("rb"))
+    return r, q
+
+
+def _firsts(group: np.ndarray, most: int) -> np.ndarray:
+    """Of sorted group numbers, which places are among the first of their group."""
+    return np.arange(len(group)) - np.searchsorted(group, group) < most
+
+
+class _Nearest:
+    """The k nearest of up to 256 queries in one block of rows: candidates by a matrix product, settled by exact distances."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, y: np.ndarray, names: np.ndarray, k: int):
+        self.x, self.ids, self.y, self.names, self.k = x, ids, y, names, k
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))  # query, row, distance
+
+    def settle(self) -> None:
+        q, r = (np.concatenate(c) for c in zip(*self.waiting)) if self.waiting else (np.empty(0, np.int64),) * 2
+        self.waiting = []
+        d = [np.sqrt(((self.x[r[a : a + PAIRS]] - self.y[q[a : a + PAIRS]]) ** 2).sum(axis=1)) for a in range(0, len(q), PAIRS)]
+        q, r, d = (np.concatenate(c) for c in zip(self.best, (q, r, np.concatenate(d) if d else np.empty(0))))
+        order = np.lexsort((self.ids[r], d, q))
+        order = order[_firsts(q[order], self.k)]
+        self.best = q[order], r[order], d[order]
+
+    def search(self, keep_equal: bool, xx: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k, yy = self.k, (self.y * self.y).sum(axis=1)
+        slack = 1e-12 * (most + yy) + 1e-300
+        low = np.full((len(self.y), k), np.inf)  # the k smallest squared distances so far, but for the query's own square
+        for b in range(0, len(self.x) if k else 0, SLAB):
+            x, ids = self.x[b : b + SLAB], self.ids[b : b + SLAB]
+            rough = xx[b : b + SLAB] - 2.0 * (self.y @ x.T)
+            mine = np.flatnonzero(np.isin(ids, self.names))
+            at, i = np.nonzero(self.names[:, None] == ids[mine])
+            rough[at, mine[i]] = np.inf
+            if not keep_equal:
+                at, i = np.nonzero(rough <= (slack - yy)[:, None])
+                for a in range(0, len(at), PAIRS):
+                    same = (x[i[a : a + PAIRS]] == self.y[at[a : a + PAIRS]]).all(axis=1)
+                    rough[at[a : a + PAIRS][same], i[a : a + PAIRS][same]] = np.inf
+            if b == 0:
+                low[:, : min(k, len(x))] = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, : min(k, len(x))]
+            limit = np.minimum(low.max(axis=1) + 2 * slack, np.finfo(float).max)
+            at, i = np.nonzero(rough <= limit[:, None])
+            if b and len(at):
+                q, v = np.r_[np.repeat(np.arange(len(low)), k), at], np.r_[low.ravel(), rough[at, i]]
+                order = np.lexsort((v, q))
+                low = v[order[_firsts(q[order], k)]].reshape(len(low), k)
+            self.waiting.append((at, i + b))
+            if sum(len(w[0]) for w in self.waiting) > 4 * PAIRS:
+                self.settle()
+        self.settle()
+        q, r, d = self.best
+        return self.names[q], self.ids[r], d
+
+
+def knn(rows: DataFrame, queries: DataFrame, k: int, block: int = 32768, keep_equal: bool = False) -> DataFrame:
     """(query_id, vec_id, dist, rank) of the k nearest other vectors by L2, ties to the smaller id.
 
     Vectors equal to the query's are left out unless kept.  Vectors that are null, empty or hold null take no part, and
     only vectors of one length meet.  Rows and queries meet in blocks: each task compares one block of rows with one
-    block of queries by a matrix product, checks the best by exact distances and returns the best k of each query, so
-    memory is bounded by the block."""
+    block of queries by matrix products, checks what comes near the k-th so far by exact distances and returns the best
+    k of each query, so memory is bounded by the block.  The work is rows times queries."""
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull())
-    own = [F.col(c).alias(c) for c in ("vec_id", "embedding")]  # columns of their own, should both come from one table
-    rows, queries = (df.where(usable).select(*own) for df in (rows, queries))
-    nr, nq = (max(1, -(-df.count() // block)) for df in (rows, queries))
-    size = F.size("embedding").alias("size")
-    r = rows.select(size, F.pmod(F.xxhash64("vec_id"), F.lit(nr)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), "vec_id", "embedding")
-    q = queries.select(size, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))).alias("rb"), F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int").alias("qb"), F.col("vec_id").alias("query_id"), "embedding")
+    own = [F.size("embedding").alias("size"), *[F.col(c).alias(c) for c in ("vec_id", "embedding")]]  # columns of their own, should both come from one table
+    r, q = _blocks(*(df.where(usable).select(*own) for df in (rows, queries)), block)
 
     def nearest(mine: pa.Table, asks: pa.Table) -> pa.Table:
         out = []
@@ -36,18 +104,8 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, block: int = 8192, keep_equ
             x, ids = _matrix(mine.column("embedding")), mine.column("vec_id").to_numpy()
             y, names = _matrix(asks.column("embedding")), asks.column("query_id").to_numpy()
             xx = (x * x).sum(axis=1)
-            slack = 1e-9 * (1.0 + xx.max())
-            for a in range(0, len(y), 256):
-                rough = xx - 2.0 * (y[a : a + 256] @ x.T)  # squared distance but for the query's own square
-                for i, row in enumerate(rough, a):
-                    row[ids == names[i]] = np.inf
-                    if not keep_equal:
-                        row[(row <= slack - y[i] @ y[i]) & (x == y[i]).all(axis=1)] = np.inf
-                    able = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1] + slack) if k else np.empty(0, int)
-                    able = able[row[able] < np.inf]
-                    d = np.sqrt(((x[able] - y[i]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[able], d))[:k]
-                    out.append((np.full(len(best), names[i]), ids[able][best], d[best]))
+            most = xx[np.isfinite(xx)].max(initial=0.0)
+            out = [_Nearest(x, ids, y[a : a + 256], names[a : a + 256], k).search(keep_equal, xx, most) for a in range(0, len(y), 256)]
         cols = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "dist": pa.array(cols[2], pa.float64())})
 
@@ -57,6 +115,70 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, block: int = 8192, keep_equ
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _ends(x: np.ndarray, ids: np.ndarray, y: np.ndarray, name: int, rough: np.ndarray, slack: float, near: int, far: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, rounded distances) of the rows that are among the nearest or furthest of one query, ties included as far as they are wanted.
+
+    ``rough`` are the squared distances within the slack; rows whose is not finite are always looked at."""
+    fine = np.isfinite(rough)
+    able = np.ones(len(ids), bool)
+    if np.count_nonzero(fine) > near + far:
+        f = rough[fine]
+        part = np.partition(f, [near - 1, len(f) - far])
+        low = (np.sqrt(max(part[near - 1] + slack, 0.0)) + 2 * 10.0**-digits) ** 2 + slack
+        high = max(np.sqrt(max(part[len(f) - far] - slack, 0.0)) - 2 * 10.0**-digits, 0.0) ** 2 - slack
+        able = ~fine | (rough <= low) | (rough >= high)
+    able = np.flatnonzero(able)
+    able = able[ids[able] != name]
+    total = np.zeros(len(able))
+    for c, v in zip(x[able].T, y):  # summed in the order of the components
+        total += (c - v) * (c - v)
+    d = np.sqrt(total) * 10.0**digits
+    whole = np.floor(d)
+    d = np.where(np.isfinite(d), whole + (d - whole >= 0.5), d) / 10.0**digits
+    own, nan = ids[able], np.isnan(d)
+    up, down = np.lexsort((own, d))[:near], np.lexsort((-own, np.where(nan, np.inf, -d), ~nan))[:far]
+    both = np.union1d(up, down)
+    return own[both], d[both]
+
+
+def nearest_and_furthest(rows: DataFrame, queries: DataFrame, near: int, far: int, digits: int = 9, block: int = 32768) -> DataFrame:
+    """(query_id, vec_id, dist): for each query at least its ``near`` nearest and ``far`` furthest other vectors by L2, rounded.
+
+    Among the nearest ties go to the smaller id, among the furthest to the larger.  A distance is null where a vector is
+    null, holds null or has another length; these come last either way.  Rows and queries meet in blocks; a block gives
+    each query at most ``2 * (near + far)`` rows."""
+    fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull())
+    own = [F.when(fine, F.size("embedding")).otherwise(-1).alias("size"), F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, F.col("embedding")).alias("embedding")]
+    r, q = _blocks(*(df.where("vec_id is not null").select(*own) for df in (rows, queries)), block)
+
+    def ends(mine: pa.Table, asks: pa.Table) -> pa.Table:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool))]
+        if len(mine) and len(asks):
+            size, ids = mine.column("size").to_numpy(), mine.column("vec_id").to_numpy()
+            for length in np.unique(asks.column("size").to_numpy()).tolist():
+                some = asks.filter(pa.array(asks.column("size").to_numpy() == length))
+                names, met = some.column("query_id").to_numpy(), size == (length if length >= 0 else -2)
+                away, x, y = np.sort(ids[~met]), np.empty((0, 0)), np.empty((len(some), 0))
+                if met.any():
+                    x, y = (t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(t), length) for t in (mine.filter(pa.array(met)), some))
+                own, xx = ids[met], (x * x).sum(axis=1)
+                again = int(np.unique(own, return_counts=True)[1].max(initial=0))  # rows of the query's own id take places
+                most = xx[np.isfinite(xx)].max(initial=0.0)
+                for a in range(0, len(y), 64):
+                    yy = (y[a : a + 64] ** 2).sum(axis=1)
+                    rough = xx + yy[:, None] - 2.0 * (y[a : a + 64] @ x.T)
+                    for i, row in enumerate(rough, a):
+                        found, d = _ends(x, own, y[i], names[i], row, 1e-12 * (most + yy[i - a]), near + again, far + again, digits)
+                        lost = away[away != names[i]]
+                        lost = np.r_[lost[:near], lost[max(near, len(lost) - far) :]]
+                        out.append((np.full(len(found) + len(lost), names[i]), np.r_[found, lost], np.r_[d, np.zeros(len(lost))], np.r_[np.zeros(len(found), bool), np.ones(len(lost), bool)]))
+        query, vec, d, none = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "dist": pa.array(d, pa.float64(), mask=none)})
+
+    key = ["rb", "qb"]
+    return r.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(ends, "query_id long, vec_id long, dist double")
+
+
 def build_or_load(rows: DataFrame, path: str, cells: int = 64, seed: int = 1) -> tuple[DataFrame, np.ndarray]:
     """(vectors(cell, vec_id, embedding) in folders by cell, centroids) of the index at the path, built first unless complete there.
 

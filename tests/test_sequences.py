@@ -63,6 +63,40 @@ def test_knn_edge_cases(spark):
     assert got() == [(1, 1, 2, 5.0), (1, 2, 8, 5.0), (2, 1, 1, 5.0), (2, 2, 3, 5.0), (3, 1, 2, 5.0), (3, 2, 8, 5.0)]
 
 
+def test_nearest_and_furthest_equal_brute_force_in_bounded_pieces(spark, monkeypatch):
+    """Copies tie by id at either end; null and short vectors have no distance; blocks return few rows."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 6)).round(1)
+    x[50:150], x[300:330] = x[0] + 9.0, x[1]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [1.0]), (1002, [None] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vecindex.nearest_and_furthest(df, df.where("vec_id % 100 = 0"), 7, 9, block=100).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["dist"]))
+    assert sorted(got) == [0, 100, 200, 300, 1000] and all(d is None for _, d in got[1000])
+    for q in (0, 100, 200, 300):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1)).round(9)
+        others = [i for i in range(400) if i != q]
+        mine = [(v, e) for v, e in got[q] if e is not None]
+        assert [v for v, _ in sorted(mine, key=lambda t: (t[1], t[0]))][:7] == sorted(others, key=lambda i: (d[i], i))[:7]
+        assert [v for v, _ in sorted(mine, key=lambda t: (-t[1], -t[0]))][:9] == sorted(others, key=lambda i: (-d[i], -i))[:9]
+        assert len(got[q]) <= 16 * 40
+
+
+def test_knn_of_copies_holds_few_pairs(spark, monkeypatch):
+    """One vector with very many copies: ties by id, settled in pieces."""
+    monkeypatch.setattr(vecindex, "PAIRS", 64)
+    monkeypatch.setattr(vecindex, "SLAB", 32)
+    x = np.random.default_rng(7).standard_normal((300, 5)).round(1)
+    x[20:220] = x[3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vecindex.knn(df, df, 4).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)).round(12)
+    for i in range(300):
+        near = [j for j in sorted(range(300), key=lambda j: (d[i, j], j)) if (x[i] != x[j]).any()][:4]
+        assert [got[i, k] for k in (1, 2, 3, 4)] == near
+
+
 def test_knn_equals_brute_force_and_index_reads_cells(spark, tmp_path):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((300, 8))
