@@ -56,44 +56,58 @@ class _Nearest:
         order = order[_firsts(q[order], self.k)]
         self.best = q[order], r[order], d[order]
 
-    def search(self, keep_equal: bool, xx: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        k, yy = self.k, (self.y * self.y).sum(axis=1)
-        slack = 1e-12 * (most + yy) + 1e-300
-        low = np.full((len(self.y), k), np.inf)  # the k smallest squared distances so far, but for the query's own square
-        for b in range(0, len(self.x) if k else 0, SLAB):
+    def search(self, keep_equal: bool, z: np.ndarray, w: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``w @ z.T`` is, within the slack of each query, larger the nearer the row; a query's own vector has half its own square."""
+        k, own = self.k, (w[:, :-1].astype(float) ** 2).sum(axis=1) / 2
+        top = np.full((len(w), k), -np.inf)  # the k largest so far
+        for b in range(0, len(z) if k else 0, SLAB):
             x, ids = self.x[b : b + SLAB], self.ids[b : b + SLAB]
-            rough = xx[b : b + SLAB] - 2.0 * (self.y @ x.T)
+            rough = w @ z[b : b + SLAB].T
             mine = np.flatnonzero(np.isin(ids, self.names))
             at, i = np.nonzero(self.names[:, None] == ids[mine])
-            rough[at, mine[i]] = np.inf
+            rough[at, mine[i]] = -np.inf
             if not keep_equal:
-                at, i = np.nonzero(rough <= (slack - yy)[:, None])
+                at, i = np.divmod(np.flatnonzero(rough >= (own - 2 * slack).astype(np.float32)[:, None]), len(x))
                 for a in range(0, len(at), PAIRS):
                     same = (x[i[a : a + PAIRS]] == self.y[at[a : a + PAIRS]]).all(axis=1)
-                    rough[at[a : a + PAIRS][same], i[a : a + PAIRS][same]] = np.inf
+                    rough[at[a : a + PAIRS][same], i[a : a + PAIRS][same]] = -np.inf
             if b == 0:
-                low[:, : min(k, len(x))] = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, : min(k, len(x))]
-            limit = np.minimum(low.max(axis=1) + 2 * slack, np.finfo(float).max)
-            at, i = np.nonzero(rough <= limit[:, None])
+                n = min(k, len(x))
+                top[:, :n] = np.partition(np.nan_to_num(rough, nan=-np.inf, neginf=-np.inf), len(x) - n, axis=1)[:, len(x) - n :]
+            limit = np.maximum(top.min(axis=1) - 3 * slack, np.finfo(np.float32).min).astype(np.float32)
+            at, i = np.divmod(np.flatnonzero(rough >= limit[:, None]), len(x))
             if b and len(at):
-                q, v = np.r_[np.repeat(np.arange(len(low)), k), at], np.r_[low.ravel(), rough[at, i]]
-                order = np.lexsort((v, q))
-                low = v[order[_firsts(q[order], k)]].reshape(len(low), k)
+                q, v = np.r_[np.repeat(np.arange(len(top)), k), at], np.r_[top.ravel(), rough[at, i]]
+                order = np.lexsort((-v, q))
+                top = v[order[_firsts(q[order], k)]].reshape(len(top), k)
             self.waiting.append((at, i + b))
-            if sum(len(w[0]) for w in self.waiting) > 4 * PAIRS:
+            if sum(len(c[0]) for c in self.waiting) > 4 * PAIRS:
                 self.settle()
         self.settle()
         q, r, d = self.best
         return self.names[q], self.ids[r], d
 
 
+def _halves(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and queries in single precision, such that the product is ``x y - x x / 2`` about the rows' mean, and its error by query."""
+    fine = np.isfinite(x).all(axis=1)
+    scale = max(np.abs(x[fine]).max(initial=0.0), np.abs(y[np.isfinite(y)]).max(initial=0.0), 1e-300)
+    x, y = x / scale, y / scale  # no square overflows
+    mean = x[fine].mean(axis=0) if fine.any() else 0.0
+    x, y = x - mean, y - mean
+    half = (x * x).sum(axis=1) / 2
+    most = half[fine].max(initial=0.0)
+    error = (x.shape[1] + 8) * 2.0**-23 * (np.sqrt(2 * most * (y * y).sum(axis=1)) + most) + 1e-30
+    return np.c_[x, -half].astype(np.float32), np.c_[y, np.ones(len(y))].astype(np.float32), error
+
+
 def knn(rows: DataFrame, queries: DataFrame, k: int, block: int = 32768, keep_equal: bool = False) -> DataFrame:
     """(query_id, vec_id, dist, rank) of the k nearest other vectors by L2, ties to the smaller id.
 
     Vectors equal to the query's are left out unless kept.  Vectors that are null, empty or hold null take no part, and
     only vectors of one length meet.  Rows and queries meet in blocks: each task compares one block of rows with one
-    block of queries by matrix products, checks what comes near the k-th so far by exact distances and returns the best
-    k of each query, so memory is bounded by the block.  The work is rows times queries."""
+    block of queries by matrix products in single precision, checks what comes within their error of the k-th so far by
+    exact distances and returns the best k of each query, so memory is bounded by the block.  The work is rows times queries."""
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull())
     own = [F.size("embedding").alias("size"), *[F.col(c).alias(c) for c in ("vec_id", "embedding")]]  # columns of their own, should both come from one table
     r, q = _blocks(*(df.where(usable).select(*own) for df in (rows, queries)), block)
@@ -103,9 +117,8 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, block: int = 32768, keep_eq
         if len(mine) and len(asks):
             x, ids = _matrix(mine.column("embedding")), mine.column("vec_id").to_numpy()
             y, names = _matrix(asks.column("embedding")), asks.column("query_id").to_numpy()
-            xx = (x * x).sum(axis=1)
-            most = xx[np.isfinite(xx)].max(initial=0.0)
-            out = [_Nearest(x, ids, y[a : a + 256], names[a : a + 256], k).search(keep_equal, xx, most) for a in range(0, len(y), 256)]
+            z, w, slack = _halves(x, y)
+            out = [_Nearest(x, ids, y[a : a + 256], names[a : a + 256], k).search(keep_equal, z, w[a : a + 256], slack[a : a + 256]) for a in range(0, len(y), 256)]
         cols = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "dist": pa.array(cols[2], pa.float64())})
 

@@ -97,6 +97,22 @@ def test_knn_of_copies_holds_few_pairs(spark, monkeypatch):
         assert [got[i, k] for k in (1, 2, 3, 4)] == near
 
 
+def test_knn_tells_apart_what_single_precision_does_not():
+    """Near copies about a far point, with an outlier: exact ranks, and rough products stay within the stated error."""
+    rng = np.random.default_rng(8)
+    x = 1000.0 + 1e-6 * rng.standard_normal((500, 16))
+    x[7] = -5e4
+    z, w, slack = vecindex._halves(x, x[:50])
+    scaled = x / 5e4
+    true = (scaled[:50] - scaled.mean(axis=0)) @ (scaled - scaled.mean(axis=0)).T - ((scaled - scaled.mean(axis=0)) ** 2).sum(axis=1) / 2
+    assert z.dtype == np.float32 and (np.abs(w @ z.T - true) <= slack[:, None]).all()
+    q, v, d = vecindex._Nearest(x, np.arange(500), x[:50], np.arange(50), 5).search(False, z, w, slack)
+    for i in range(50):
+        want = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        want[i] = np.inf
+        assert v[q == i].tolist() == np.argsort(want)[:5].tolist()
+
+
 def test_knn_equals_brute_force_and_index_reads_cells(spark, tmp_path):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((300, 8))
