@@ -73,9 +73,12 @@ def pretty_columns(spark, sf):
 
 def vocabulary_ids(spark, sf):
     """Words of each document and those outside the 500 most frequent."""
-    t = table(spark, sf, "documents").select("doc_id", F.explode(X.words(F.lower("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    known = t.groupBy("token").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "token").limit(500).select("token", F.lit(True).alias("known"))
-    return t.join(F.broadcast(known), "token", "left").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("unknown"))  # 500 rows
+    d = table(spark, sf, "documents").select("doc_id", X.words(F.lower("text")).alias("w"))
+    counts = d.select(F.explode("w").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("total"))
+    known = [r["token"] for r in counts.orderBy(F.desc("total"), "token").limit(500).collect()]  # 500 rows
+    own = with_tokens(d, F.col("w"), "doc_id").where(F.size("w") > 0)
+    rows = own.select("doc_id", F.size("w").alias("n"), F.size(F.filter("w", lambda t: ~t.isin(known))).alias("unknown"))
+    return rows.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("unknown").alias("unknown"))  # a document is a row, but for repeated ids
 
 
 def knn_rerank(spark, sf):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import models
 from quillstone.operators import experiments as E
 from quillstone.operators.parsing import Bigrams
+from quillstone.plans import tokens
 from quillstone.plans.evaluation import DIALOGUE
 from quillstone.sources import corpus
 
@@ -55,3 +56,15 @@ def test_documentation_is_written_anew():
     model = models.BigramModel(Bigrams.learnt([["f()", "does", "it"]]))
     lines = ["f()", "  // old words", "x", "// more"]
     assert E.documented(model, lines[:2])[1] == "  // does it" and E.documented(model, lines, True)[3] == "// more" and E.documented(model, []) == []
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vocabulary_ids_shuffles_documents_not_words(spark, tmp_path):
+    rows = [(1, "a b A c"), (1, "a"), (2, None), (3, "..."), (None, "b b"), (4, " ".join(f"w{i:03}" for i in range(600)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = tokens.vocabulary_ids(spark, str(tmp_path))
+    assert {r["doc_id"]: (r["n"], r["unknown"]) for r in df.collect()} == {1: (5, 0), None: (2, 0), 4: (600, 103)}
+    assert "token" not in _plan(df)
