@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -87,12 +88,21 @@ def multimask_accuracy(spark, sf):
     """Up to 200 words of each turn, by hash, guessed as the commonest successor of the word before; the same for the turn in lower case.
 
     Turns without a word to guess on either side give no row."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("text")), F.struct(F.lit("after").alias("side"), F.lower("text").alias("text")))).alias("x"))
-    grams = with_tokens(c.select("conv_id", "turn", "x.*"), X.words(F.col("text")), "conv_id", "turn", "side").select("conv_id", "turn", "side", F.posexplode(X.ngrams(F.col("w"), 2)).alias("pos", "gram"))
-    grams = grams.withColumns({"ctx": F.substring_index("gram", " ", 1), "truth": F.substring_index("gram", " ", -1)})
-    counts = grams.where("side = 'before'").groupBy("ctx", "truth").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("ctx").agg(F.max_by("truth", F.struct("n", F.col("truth"))).alias("guess"))
-    picked = stats.take_per_group(grams, ["conv_id", "turn", "side"], 200, F.md5(F.concat_ws("-", "conv_id", "turn", "pos")), F.col("pos"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    counts = with_tokens(c, X.words(F.col("text"))).select(F.explode(X.ngrams(F.col("w"), 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    parts = {"ctx": F.substring_index("gram", " ", 1), "truth": F.substring_index("gram", " ", -1)}
+    best = counts.withColumns(parts).groupBy("ctx").agg(F.max_by("truth", F.struct("n", F.col("truth"))).alias("guess"))
+    # texts are shuffled, not their words: a text's first 200 are picked where it lies, and only repeated turns pick again
+    c = c.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "turn")))
+    sides = c.select("conv_id", "turn", "copies", F.explode(F.array(F.struct(F.lit("before").alias("side"), F.col("text")), F.struct(F.lit("after").alias("side"), F.lower("text").alias("text")))).alias("x"))
+    key = ["conv_id", "turn", "side"]
+    grams = with_tokens(sides.select("conv_id", "turn", "copies", "x.*"), X.words(F.col("text")), *key, "copies")
+    grams = with_tokens(grams, X.ngrams(F.col("w"), 2), *key, "copies")
+    hashed = F.transform("w", lambda g, i: F.struct(F.md5(F.concat_ws("-", "conv_id", "turn", i)).alias("h"), i.alias("pos"), g.alias("gram")))
+    first = F.when(F.size("w") <= 200, hashed).otherwise(F.slice(F.array_sort(hashed), 1, 200))
+    once = grams.where("copies = 1").select(*key, F.explode(F.when(F.size("w") <= 200, F.col("w")).otherwise(F.transform(first, lambda g: g["gram"]))).alias("gram"))
+    again = stats.take_per_group(grams.where("copies > 1").select(*key, F.inline(first)), key, 200, F.col("h"), F.col("pos")).select(*key, "gram")
+    picked = once.unionByName(again).withColumns(parts).drop("gram")
     hit = picked.join(best, "ctx", "left").withColumn("hit", F.coalesce(F.col("guess") == F.col("truth"), F.lit(False)).cast("double"))
     side = lambda s: F.round(F.avg(F.when(F.col("side") == s, F.col("hit"))), 6).alias(s)
     return hit.groupBy("conv_id", "turn").agg(side("before"), side("after")).where("before is not null and after is not null")

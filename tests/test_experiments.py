@@ -1,11 +1,14 @@
 """Compositions on small literal inputs."""
 
+import random
+
+import duckdb
 from pyspark.sql import functions as F
 
 from quillstone.functions import models
 from quillstone.operators import experiments as E
 from quillstone.operators.parsing import Bigrams
-from quillstone.plans import tokens
+from quillstone.plans import scores, tokens
 from quillstone.plans.evaluation import DIALOGUE
 from quillstone.sources import corpus
 
@@ -68,3 +71,18 @@ def test_vocabulary_ids_shuffles_documents_not_words(spark, tmp_path):
     df = tokens.vocabulary_ids(spark, str(tmp_path))
     assert {r["doc_id"]: (r["n"], r["unknown"]) for r in df.collect()} == {1: (5, 0), None: (2, 0), 4: (600, 103)}
     assert "token" not in _plan(df)
+
+
+def test_multimask_picks_where_the_text_lies(spark, tmp_path):
+    """Long, short and repeated turns equal SQL; no window over words without repeated turns."""
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choice(["a", "B", "c", "Dd", "e"]) for _ in range(n))
+    same = text(300)
+    rows = [(1, 0, text(500)), (1, 1, text(40)), (2, 0, same), (2, 0, same), (3, 0, "one"), (4, 0, None), (5, 0, text(201))]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    df = scores.multimask_accuracy(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    rel = con.sql(scores.ORACLE_SQL["multimask_accuracy"])
+    assert sorted(map(tuple, df.select(*rel.columns).collect())) == sorted(rel.fetchall())
+    assert "copies" in _plan(df)
