@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import edit_distance, python_error
+from ..functions.sequences import distances, edit_distance, python_error
 from ..functions.sequences import edits as aligned_edits
 from ..functions.text import visible_chars
 from . import edits, ranking
@@ -37,7 +37,7 @@ def preprocessed(
         rows = rows.where((F.size(F.array_except("b", known)) == 0) & (F.size(F.array_except("f", known)) == 0))
     if minimise is not None:
         rows = rows.withColumn("f", minimise(F.col("b"), F.col("f")))
-    rows = rows.withColumn("n_edits", F.size(aligned_edits(F.col("b"), F.col("f")))).where(F.col("n_edits").between(1, max_patch))
+    rows = rows.withColumn("n_edits", distances(F.col("b"), F.col("f"), max_patch)).where(F.col("n_edits").between(1, max_patch))
     return rows.where(accepts(F.col("f"))) if accepts is not None else rows
 
 

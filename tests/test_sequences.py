@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import sequences as S
 from quillstone.functions import text as X
-from quillstone.operators import vecindex
+from quillstone.operators import pairs, vecindex
 from quillstone.sources import corpus
 
 
@@ -55,6 +55,19 @@ def test_longest_common_substring():
     assert S.longest_common(["abcd__xy", "abcd xy", "xy"]) == "xy" and S.longest_common([]) == "" and S.longest_common(["a", None]) == ""
 
 
+def test_distances_are_the_numbers_of_edits_without_a_table(spark):
+    rnd = random.Random(4)
+    side = lambda: [rnd.choice("abcd") for _ in range(rnd.randint(0, 9))]
+    rows = [(i, side(), side()) for i in range(200)] + [(200, None, ["a"]), (201, ["a"] * 30, ["b"] * 30)]
+    df = spark.createDataFrame(rows, "id long, a array<string>, b array<string>").select("id", S.distances(F.col("a"), F.col("b"), 20).alias("d"), F.size(S.edits(F.col("a"), F.col("b"))).alias("n"))
+    assert all(r["d"] == (r["n"] if r["n"] <= 20 else None) for r in df.collect())
+    broke, fixed = " ".join(f"a{i}" for i in range(20)) + ",", " ".join(f"b{i}" for i in range(20))
+    made = pairs.preprocessed(spark.createDataFrame([(broke, fixed)], "broke string, fixed string"), lambda t: ~F.contains(t, F.lit(",")), lambda t: F.split(t, " "), max_patch=1000)
+    assert [r["n_edits"] for r in made.collect()] == [20]
+    used = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "kind" not in used and "run(" in used  # no edits are made to be counted
+
+
 def test_knn_edge_cases(spark):
     rows = [(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [1.0]), (7, [None, 1.0]), (8, [3.0, 4.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
